@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept with their ids in each Python worker; beyond that the memory is emptied and filled anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 
 #: White space to Python's split() that the tokenizer files treat as symbols.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -68,7 +68,7 @@ class WordEncoder:
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.limit = cached_words
         self.words = _Memory(self._word, cached_words)
-        self.piece_ids = _Memory(self._merge, cached_words)
+        self.piece_ids = _Memory(self._merge, cached_words // 3)
 
     def _merge(self, piece: str) -> bytes:
         data = piece.encode()
@@ -122,7 +122,7 @@ class _Memory(dict):
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.older = make, limit // 2, {}
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
