@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -157,7 +158,7 @@ def read_spec(path: str) -> str:
 def texts(column: pa.ChunkedArray | pa.Array, chars: int = 1 << 22) -> Iterator[list[str | None]]:
     """A column's strings in lists of about so many bytes, one text at least."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), float)))
+    sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), float)))
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right")))
