@@ -118,6 +118,25 @@ class WordEncoder:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class LibraryEncoder(WordEncoder):
+    """The same ids from the tokenizers library, asked once for each word that isn't remembered."""
+
+    def __init__(self, spec: str, cached_words: int = CACHED_WORDS):
+        from tokenizers import Tokenizer
+
+        super().__init__(spec, cached_words)
+        self.library = Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        # What split() and the library disagree on is left to the library.
+        return self._word(text) if any(c in text for c in _SEPARATORS) else b"".join(map(self.words.__getitem__, text.split()))
+
+
 class _Memory(dict):
     """Results of a function by its argument. When full, what was asked for lately stays for one more filling."""
 
@@ -137,16 +156,23 @@ class _Memory(dict):
         return value
 
 
-_LOADED: dict[str, WordEncoder] = {}
+_LOADED: list = [None, None]
+
+
+def _loaded(kind: type[WordEncoder], spec: str) -> WordEncoder:
+    if _LOADED[0] != (kind, spec):
+        _LOADED[:] = [(kind, spec), kind(spec)]
+    return _LOADED[1]
 
 
 def encoder(spec: str) -> WordEncoder:
     """The encoder of a file's text, made once in each Python worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordEncoder(spec)
-    return _LOADED[key]
+    return _loaded(WordEncoder, spec)
+
+
+def library(spec: str) -> LibraryEncoder:
+    """The same with the library's merges."""
+    return _loaded(LibraryEncoder, spec)
 
 
 def read_spec(path: str) -> str:

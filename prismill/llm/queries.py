@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, minhash
+from prismill.llm import bpe, decontam, minhash, ogg, tokenbin
+from prismill.llm.store import Scratch
 
 
 def tokenizer_path() -> str:
@@ -28,6 +29,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    spec = bpe.read_spec(tokenizer or tokenizer_path())
+    manifest = tokenbin.write(docs, lambda text: bpe.library(spec).encode(text), 2, Scratch(spark, "shards"), vocabulary=49408)
+    return tokenbin.described(manifest)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return ogg.described(Scratch(spark, "media").table(ogg.stored(docs), "media"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,6 +52,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_token_shards": op6_token_shards,
+    "op8_media": op8_media,
     "op10_decontamination": op10_decontamination,
 }
 
