@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, minhash, ogg, tokenbin
+from prismill.llm import bpe, decontam, langid, minhash, ogg, tokenbin
 from prismill.llm.store import Scratch
 
 
@@ -19,6 +19,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     spec = bpe.read_spec(tokenizer or tokenizer_path())
@@ -50,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_token_shards": op6_token_shards,
