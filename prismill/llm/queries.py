@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, langid, minhash, ogg, tokenbin
+from prismill.llm import bpe, decontam, langid, minhash, ogg, tokenbin, wrappers
 from prismill.llm.store import Scratch
 
 
@@ -47,6 +47,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.described(Scratch(spark, "media").table(ogg.stored(docs), "media"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(load(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_token_shards": op6_token_shards,
     "op8_media": op8_media,
+    "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
 }
 
