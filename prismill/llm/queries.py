@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, langid, minhash, ogg, tokenbin, wrappers
+from prismill.llm import bpe, decontam, langid, minhash, ogg, recompress, tokenbin, wrappers
 from prismill.llm.store import Scratch
 
 
@@ -42,6 +42,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return tokenbin.described(manifest)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeated(load(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return ogg.described(Scratch(spark, "media").table(ogg.stored(docs), "media"))
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_token_shards": op6_token_shards,
+    "op7_repeats": op7_repeats,
     "op8_media": op8_media,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
@@ -81,6 +86,15 @@ r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r
 m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id""",
+    "op7_repeats": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM x) WHERE k > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM r),
+t AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d WHERE len(w) > 0),
+k AS (SELECT t.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS s FROM t ANTI JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op10_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

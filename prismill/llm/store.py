@@ -8,6 +8,7 @@ setting is missing, as in tests, a temporary folder takes its place.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,16 +38,31 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
         atexit.register(self.close)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: later plans start from files that any executor can read."""
+        """Write ``df`` and read it back: later plans start from files that any executor can read.
+
+        The step that made it is over, so its shuffle files are let go: Spark removes
+        them once the driver's garbage has been collected.
+        """
         at = self.folder(name)
         df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.tables.append((out, at))
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
+        for at in [at for t, at in self.tables if any(t is x for x in tables)]:
+            remove(self.spark, at)
+        self.tables = [x for x in self.tables if not any(x[0] is y for y in tables)]
 
     def close(self) -> None:
         try:
