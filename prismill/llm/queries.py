@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, langid, minhash, ogg, recompress, tokenbin, wrappers
+from prismill.llm import bpe, decontam, langid, minhash, ogg, recompress, secret_scan, tokenbin, wrappers
 from prismill.llm.store import Scratch
 
 
@@ -19,6 +19,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.findings(load(spark, sf_dir, "documents"), forest)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -64,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
