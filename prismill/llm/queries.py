@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import bpe, decontam, langid, minhash, ogg, recompress, secret_scan, tokenbin, wrappers
+from prismill.llm import bpe, decontam, langid, minhash, ogg, recompress, secret_scan, surrogates, tokenbin, wrappers
 from prismill.llm.store import Scratch
 
 
@@ -40,6 +40,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str, key: str = "published key of the checks; give your own") -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, key).select("doc_id", "text", "n_entities")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     spec = bpe.read_spec(tokenizer or tokenizer_path())
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_surrogates": op5_surrogates,
     "op6_token_shards": op6_token_shards,
     "op7_repeats": op7_repeats,
     "op8_media": op8_media,
