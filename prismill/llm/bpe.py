@@ -238,12 +238,14 @@ def decode(df: DataFrame, spec: str, column: str = "ids", to: str = "decoded") -
     return df.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, spec: str, column: str = "text") -> DataFrame:
-    """Encode each text and decode its ids again in one pass: n_tokens, ids_sha256 and decoded_sha256 are added."""
+def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None = None) -> DataFrame:
+    """Encode each text and decode its ids again in one pass: n_tokens, ids_sha256 and decoded_sha256 are added, on request also the ids."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
+    fields = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
     def make(text):
-        ids = (code := encoder(spec)).encode(text)
-        return len(ids) // 4, sha(ids), sha(code.decode(ids).encode())
+        data = (code := encoder(spec)).encode(text)
+        out = len(data) // 4, sha(data), sha(code.decode(data).encode())
+        return (*out, np.frombuffer(data, "<i4")) if ids else out
 
-    return mapped(df, column, {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}, make)
+    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make)
