@@ -6,12 +6,16 @@ An empty bucket borrows the register of another one that a fixed sequence
 names. Bands of compressed registers give candidates, an estimate corrected
 for chance collisions of registers thins them, and the full sets decide.
 
-Work is kept linear in a group's size. Documents of one set are one node. In a
-band's group, nodes of other components are compared with a pivot; what that
-links becomes one component. After ``ROUNDS`` rounds the groups that still
-hold several components are finished exactly: a node's hashes that no other
-such node has bound every similarity it can reach, and only pairs that the
-bound leaves open are verified. No group is capped or sampled.
+Work is kept near linear in a group's size. Documents of one set are one node.
+In a band's group, nodes of other components are compared with a pivot, the
+node c that meets most others in bands; what that links becomes one component.
+After ``ROUNDS`` rounds the groups that still hold several components are
+finished exactly, by what their nodes have beyond c and lack of it. For nodes
+s and x that aren't both linked with c, |s & x| = |s & x & c| + |(s - c) & (x - c)|
+and the first part is at most |c| less the larger lack, so a link needs a
+shared hash beyond c or, where x is smaller than c and the sizes allow it, a
+shared lack. An inverted index of these differences, which near copies of one
+text hardly share, gives the remaining pairs. No group is capped or sampled.
 
 With 32 bands of 5 registers a pair at similarity 0.85 is missed by all bands
 with a probability of 7e-9, one at 0.8 with 3e-6.
@@ -143,6 +147,24 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of nodes a with their pivots b: a row for each hash beyond the pivot, and for each one lacking where a link without the others is possible."""
+    share = percent / (100 + percent)
+    for batch in batches:
+        out: list[list] = [[], []]
+        for i, (x, y, low) in enumerate(zip(batch.column("ha"), batch.column("hb"), batch.column("low").to_pylist(), strict=True)):
+            p, c = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            beyond, lack = np.setdiff1d(p, c, assume_unique=True), np.setdiff1d(c, p, assume_unique=True)
+            may = low < len(c) and share * (len(p) + low) <= len(c) - len(lack) + 1e-9
+            some = np.concatenate([beyond, mix(lack)]) if may else beyond
+            out[0].append(some)
+            out[1].append(np.full(len(some), i))
+        if out[0]:
+            h, of = map(np.concatenate, out)
+            of = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(of), batch.column("b").take(of), pa.array(signed(h))], names=["doc", "pivot", "hash"])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
     """Per row: key, n_shingles, component_id (least id reachable by links) and kept (the id is its component's)."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -155,16 +177,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     nodes = real.join(equal.select("k1", "k2", "n", F.col("rep").alias("doc")), ["k1", "k2", "n", "doc"])
 
     band = nodes.select("doc", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("band")
+    shared = band.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
     groups = scratch.table(band.join(shared, "band"), "groups")
-    some = groups.select("doc").distinct()
-    node = scratch.table(nodes.join(some, "doc").groupBy("doc").agg(F.first("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("regs").alias("regs")), "nodes")
+    some = groups.groupBy("doc").agg(F.sum("size").alias("meets"))
+    node = scratch.table(nodes.join(some, "doc").groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "k1", "k2", "regs", "meets"))), "nodes")
     full = d.join(node.select("doc", "n", "k1", "k2"), "doc").mapInArrow(lambda b: _sets(b, shingle, lower), f"doc {kind}, n bigint, k1 bigint, k2 bigint, own bigint, hashes binary")
     sets = scratch.table(full.where("own = k1").groupBy("doc").agg(F.first("hashes").alias("hashes")), "sets")
 
+    def side(t: DataFrame, c: str, **names: str) -> DataFrame:
+        return t.select(F.col("doc").alias(c), *(F.col(v).alias(k) for k, v in names.items()))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b)."""
-        side = lambda t, c, **names: t.select(F.col("doc").alias(c), *(F.col(v).alias(k) for k, v in names.items()))
         p = pairs.join(side(node, "a", na="n", ra="regs"), "a").join(side(node, "b", nb="n", rb="regs"), "b")
         p = p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         p = p.mapInArrow(lambda b: _likely(b, percent / 100), f"a {kind}, b {kind}")
@@ -172,40 +196,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         return p.mapInArrow(lambda b: _verified(b, percent), f"a {kind}, b {kind}")
 
     def labelled(links: DataFrame | None) -> DataFrame:
-        """(doc, comp) of every node in a group."""
+        """(doc, meets, comp, comp_size) of every node in a group."""
         if links is None:
-            return node.select("doc", F.col("doc").alias("comp"))
-        c = components(links, scratch).select(F.col("node").alias("doc"), "component")
-        return scratch.table(node.select("doc").join(c, "doc", "left").select("doc", F.coalesce("component", "doc").alias("comp")), "labels")
-
-    def mixed(label: DataFrame, open_groups: DataFrame, pivot_seed: int) -> DataFrame:
-        """Members of groups that hold several components, with each group's pivot and its component."""
+            return node.select("doc", "meets", F.col("doc").alias("comp"), F.lit(1).cast("long").alias("comp_size"))
+        c = scratch.table(components(links, scratch).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "comps")
+        sizes = c.groupBy("comp").agg((F.count("*") + 1).alias("comp_size"))
+        c = c.unionByName(sizes.select(F.col("comp").alias("doc"), "comp")).join(sizes, "comp")
+        c = node.select("doc", "meets").join(c, "doc", "left").select("doc", "meets", F.coalesce("comp", "doc").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+        return scratch.table(c, "labels")
+
+    def mixed(label: DataFrame, open_groups: DataFrame) -> DataFrame:
+        """Members of groups that hold several components, with a pivot of each: of the smallest components' nodes the one that meets most."""
         g = open_groups.join(label, "doc")
-        order = F.struct(F.xxhash64("doc", F.lit(pivot_seed)).alias("h"), F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))
+        order = F.struct("comp_size", -F.col("meets"), F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))
         top = g.groupBy("band").agg(F.min(order).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return scratch.table(g.join(top.select("band", "top.pivot", "top.pivot_comp"), "band"), "mixed")
+        return scratch.table(g.join(top.select("band", "top.pivot", "top.pivot_comp"), "band").select("band", "doc", "comp", "pivot", "pivot_comp"), "mixed")
 
-    links, label = None, labelled(None)
-    left = groups
-    for r in range(ROUNDS):
-        m = mixed(label, left, r)
+    links, label, left, first = None, labelled(None), groups.select("band", "doc"), None
+    for _ in range(ROUNDS):
+        m = mixed(label, left)
+        first = first if first is not None else m.select("band", "doc", "pivot")
         pairs = m.where("comp <> pivot_comp").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         new = scratch.table(verified(pairs), "links")
         links = new if links is None else links.unionByName(new)
         label = labelled(links)
         left = m.select("band", "doc")
 
-    m = mixed(label, left, ROUNDS).select("band", "doc", "comp")
-    rest = m.select("doc").distinct().join(sets, "doc")
-    single = rest.mapInArrow(_exploded, f"doc {kind}, hash bigint").groupBy("hash").agg(F.min("doc").alias("doc"), F.count("*").alias("times")).where("times = 1").groupBy("doc").agg(F.count("*").alias("own"))
-    bound = scratch.table(m.select("doc").distinct().join(node.select("doc", "n"), "doc").join(single, "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n"), "bound")
-    open_ = m.join(bound, "doc")
-    several = open_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_ = scratch.table(open_.join(several, "band"), "open")
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n", "most"))) for s in "xy")
-    meet = F.least("most_x", "most_y")
-    can = (F.col("doc_x") < F.col("doc_y")) & (F.col("comp_x") != F.col("comp_y")) & (100 * meet >= percent * (F.col("n_x") + F.col("n_y") - meet))
-    pairs = x.join(y, (x["band"] == y["band"]) & can).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
+    comps = label.select("doc", "comp")
+    rest = first.join(comps, "doc")
+    several = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    pairs = rest.join(several, "band").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct().join(side(node, "a", na="n"), "a")
+    pairs = scratch.table(pairs, "open")
+    pairs = pairs.join(pairs.groupBy("b").agg(F.min("na").alias("low")), "b")
+    pairs = pairs.join(side(sets, "a", ha="hashes"), "a").join(side(sets, "b", hb="hashes"), "b")
+    index = pairs.mapInArrow(lambda b: _differences(b, percent), f"doc {kind}, pivot {kind}, hash bigint")
+    index = scratch.table(index.join(comps, "doc"), "differences")
+    several = index.groupBy("pivot", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pivot", "hash")
+    index = scratch.table(index.join(several, ["pivot", "hash"]), "shared")
+    x, y = (index.select("pivot", "hash", F.col("doc").alias(f"doc_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
+    meet = (x["pivot"] == y["pivot"]) & (x["hash"] == y["hash"]) & (F.col("doc_x") < F.col("doc_y")) & (F.col("comp_x") != F.col("comp_y"))
+    pairs = x.join(y, meet).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
     links = links.unionByName(scratch.table(verified(pairs), "links"))
     comp = components(links, scratch).select(F.col("node").alias("rep"), "component")
 
@@ -215,9 +245,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     c = F.coalesce("c", "doc")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc"), F.lit(True)).alias("kept"))
 
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, x in zip(batch.column("doc"), batch.column("hashes"), strict=True):
-            h = np.frombuffer(x.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(h), batch.schema.field("doc").type), pa.array(h)], names=["doc", "hash"])
