@@ -10,9 +10,11 @@ symbol, wherever the window stands.
 1. Each window of ``WINDOW`` words is put under one symbol that it holds by
    this rule, the one with the least hash; consecutive windows under one symbol
    are one row. A window without such a symbol is put under its own hash.
-2. Symbols that are seen once in the corpus lead to no repeat. The others'
-   windows are hashed (96 bits) and each hash's earliest place is found.
-3. Windows elsewhere are repeats; their words are removed.
+2. Symbols that are seen once in the corpus lead to no repeat. The passages
+   under the others (their windows together) are hashed with 95 bits. All but
+   the earliest of equal passages are repeats as a whole.
+3. The windows of the earliest passages are hashed as well, which finds those
+   that repeat a part of another passage. Words of repeats are removed.
 
 Aggregates are combined before they are shuffled and joins are on single rows
 for each key, so a passage that a third of all texts share is a skewed join
@@ -81,10 +83,11 @@ def compressed(w: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np
     return name, at, np.minimum(at - low, _FAR), np.minimum(high - at, _FAR)
 
 
-def _ranges(w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _ranges(w: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of the words of each range."""
-    power = np.cumprod(np.full(len(w) + 1, _B))
-    back = np.cumprod(np.full(len(w) + 1, np.uint64(pow(int(_B), -1, 1 << 64))))
+    base = (int(_B) * (2 * seed + 1) + 4 * seed) % (1 << 64)
+    power = np.cumprod(np.full(len(w) + 1, np.uint64(base)))
+    back = np.cumprod(np.full(len(w) + 1, np.uint64(pow(base, -1, 1 << 64))))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power[:-1])])
     return mix((total[end] - total[start]) * back[start])
 
@@ -140,22 +143,45 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), rows.column("doc").take(pa.array(of)), pa.array((start - first) * 32 + n)], names=["sym", "doc", "span"])
 
 
+def _listed(spans: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First windows and numbers of windows of each row's spans."""
+    return [((s := np.array(x, np.int64)) >> 5, s & 31) for x in spans.to_pylist()]
+
+
+def _hashed(rows: pa.RecordBatch, high: list, low: list, of: list, *more: tuple[str, list]) -> pa.RecordBatch:
+    cols = [pa.array(signed(np.concatenate(high))), pa.array((np.concatenate(low) >> np.uint64(33)).astype(np.int32)), rows.column("doc").take(pa.array(np.concatenate(of)))]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate(x).astype(np.int32)) for _, x in more)], names=["high", "low", "doc", *(n for n, _ in more)])
+
+
+def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """A row for each listed span: the hash of all its words, where it starts and how many windows it has."""
+    for batch in batches:
+        for rows, found in _parts(batch):
+            high, low, of, at, size = [], [], [], [], []
+            for i, (w, (start, n)) in enumerate(zip(found, _listed(rows.column("spans")), strict=True)):
+                end = start + n + window - 1
+                high.append(_ranges(w, start, end, 5) + n.astype(np.uint64))
+                low.append(_ranges(w, start, end, 6))
+                of.append(np.full(len(start), i))
+                at.append(start)
+                size.append(n)
+            if high:
+                yield _hashed(rows, high, low, of, ("at", at), ("n", size))
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the listed spans."""
     for batch in batches:
-        at = 0
         for rows, found in _parts(batch):
-            spans = rows.column("spans").to_pylist()
-            at += len(found)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, (w, s) in enumerate(zip(found, spans, strict=True)):
-                s = np.array(s, np.int64)
-                n = s & 31
-                pos = np.repeat(s >> 5, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for k, x in enumerate((wordhash.sequences(w, window, seed=3)[pos], wordhash.sequences(w, window, seed=4)[pos], np.full(len(pos), i), pos)):
-                    out[k].append(x)
-            if out[0]:
-                a, b, of, pos = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array((b >> np.uint64(33)).astype(np.int32)), rows.column("doc").take(pa.array(of)), pa.array(pos.astype(np.int32))], names=["wh", "wl", "doc", "pos"])
+            high, low, of, at = [], [], [], []
+            for i, (w, (start, n)) in enumerate(zip(found, _listed(rows.column("spans")), strict=True)):
+                pos = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                high.append(wordhash.sequences(w, window, seed=3)[pos])
+                low.append(wordhash.sequences(w, window, seed=4)[pos])
+                of.append(np.full(len(pos), i))
+                at.append(pos)
+            if high:
+                yield _hashed(rows, high, low, of, ("at", at))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int, texts_too: bool) -> Iterator[pa.RecordBatch]:
@@ -165,14 +191,13 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, texts_too: bool) -> It
             rows = batch.slice(at, len(part))
             at += len(part)
             out = []
-            for t, pos in zip(part, rows.column("repeats").to_pylist(), strict=True):
+            for t, spans in zip(part, rows.column("repeats").to_pylist(), strict=True):
                 words = (t or "").encode().split()
                 n = len(words)
-                if pos:
-                    gone = np.zeros(n + 1, np.int32)
-                    pos = np.unique(np.array(pos))
-                    gone[pos] += 1
-                    np.subtract.at(gone, pos + window, 1)
+                if spans:
+                    gone, s = np.zeros(n + 1, np.int32), np.array(spans)
+                    np.add.at(gone, s >> 5, 1)
+                    np.subtract.at(gone, (s >> 5) + (s & 31) + window - 1, 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(gone)[:n] == 0)]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if texts_too else None))
@@ -205,16 +230,29 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     d, named = _keyed(given, scratch)
     kind = d.schema["doc"].dataType.simpleString()
 
+    def by_doc(spans: DataFrame, name: str) -> DataFrame:
+        """Each text's spans, packed, in one list. Texts are dealt before they are gathered, so a span is moved as two numbers."""
+        return scratch.table(spans.select("doc", "span").repartition("doc").groupBy("doc").agg(F.collect_list("span").alias(name)), name)
+
+    packed = F.col("at").cast("long") * 32
     anchors = scratch.table(d.mapInArrow(lambda b: _anchors(b, window), f"sym bigint, doc {kind}, span bigint"), "anchors")
     shared = scratch.table(anchors.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym"), "shared")
-    spans = scratch.table(anchors.join(shared, "sym").groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = by_doc(anchors.join(shared, "sym"), "spans")
     scratch.drop(anchors, shared)
-    wins = scratch.table(d.join(spans, "doc").mapInArrow(lambda b: _windows(b, window), f"wh bigint, wl int, doc {kind}, pos int"), "windows")
-    place = F.struct("doc", "pos")
-    first = scratch.table(wins.groupBy("wh", "wl").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("wh", "wl", "first.*").toDF("wh", "wl", "doc0", "pos0"), "first")
-    later = wins.join(first, ["wh", "wl"]).where("doc <> doc0 OR pos <> pos0")
-    later = scratch.table(later.groupBy("doc").agg(F.collect_list("pos").alias("repeats")), "later")
-    scratch.drop(wins, first, spans)
+    passages = scratch.table(d.join(spans, "doc").mapInArrow(lambda b: _passages(b, window), f"high bigint, low int, doc {kind}, at int, n int"), "passages")
+    first = passages.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first")).select("high", "low", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0"))
+    roles = passages.join(first, ["high", "low"]).select("doc", (packed + F.col("n")).alias("span"), ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0"))).alias("first"))
+    roles = scratch.table(roles, "roles")
+    scratch.drop(passages, spans)
+    heads = by_doc(roles.where("first"), "spans")
+    wins = scratch.table(d.join(heads, "doc").mapInArrow(lambda b: _windows(b, window), f"high bigint, low int, doc {kind}, at int"), "windows")
+    first = wins.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1")
+    first = scratch.table(first.select("high", "low", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0")), "first")
+    partly = wins.join(first, ["high", "low"]).where("doc <> doc0 OR at <> at0").select("doc", (packed + 1).alias("span"))
+    partly = scratch.table(partly, "partly")
+    scratch.drop(wins, first, heads)
+    later = by_doc(roles.where("NOT first").select("doc", "span").unionByName(partly), "repeats")
+    scratch.drop(roles, partly)
     schema = f"doc {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     out = d.join(later, "doc", "left").mapInArrow(lambda b: _kept(b, window, texts_too), schema)
     if named is not None:

@@ -45,24 +45,25 @@ class Scratch:
         return f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: later plans start from files that any executor can read.
-
-        The step that made it is over, so its shuffle files are let go: Spark removes
-        them once the driver's garbage has been collected.
-        """
+        """Write ``df`` and read it back: later plans start from files that any executor can read."""
+        self.settle()
         at = self.folder(name)
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         self.tables.append((out, at))
+        return out
+
+    def settle(self) -> None:
+        """Let go of the shuffle files of steps that are over: Spark removes them once the driver's garbage is collected."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for at in [at for t, at in self.tables if any(t is x for x in tables)]:
             remove(self.spark, at)
         self.tables = [x for x in self.tables if not any(x[0] is y for y in tables)]
+        self.settle()
 
     def close(self) -> None:
         try:
