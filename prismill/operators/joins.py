@@ -51,5 +51,5 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:
     """An inner join where each key's rows are spread over so many tasks; for keys that adaptive execution can't split."""
     a = big.withColumn("salt_", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    b = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    b = small.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return a.join(b, [on, "salt_"]).drop("salt_")

@@ -12,7 +12,7 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[st
     """Write a table; csv gets a header, and quotes so that any text comes back as it was."""
     if kind not in FORMATS:
         raise ValueError(f"{kind} isn't one of {FORMATS}")
-    defaults = {"csv": {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": "\\N", "lineSep": "\n"}, "json": {"ignoreNullFields": "false"}}.get(kind, {})
+    defaults = {"csv": {"header": "true", "escape": '"', "nullValue": "\\N", "lineSep": "\n"}, "json": {"ignoreNullFields": "false"}}.get(kind, {})
     w = df.write.format(kind).options(**(defaults | options)).mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
@@ -21,7 +21,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parq
     """Read a table with the given schema; partition columns and filters prune what is read."""
     if kind not in FORMATS:
         raise ValueError(f"{kind} isn't one of {FORMATS}")
-    defaults = {"csv": {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": "\\N", "multiLine": "true"}}.get(kind, {})
+    defaults = {"csv": {"header": "true", "escape": '"', "nullValue": "\\N", "multiLine": "true"}}.get(kind, {})
     return spark.read.format(kind).options(**(defaults | options)).schema(schema).load(path)
 
 
