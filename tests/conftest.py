@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -15,7 +16,7 @@ def spark():
 
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
-        "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": "/tmp/prismill-warehouse",
+        "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
     }
     s = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
