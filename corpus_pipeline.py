@@ -16,23 +16,26 @@ SHINGLE, PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an undetermined language (no text, no letters) go; a missing label is filled in."""
-    found = langid.identify(docs, langid.fit(docs), to="lang_pred", score="lang_score").where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    label = bpe.fresh(docs, "lang_pred")
+    found = langid.identify(docs, langid.fit(docs), to=label, score=bpe.fresh(docs, "lang_score")).where(F.col(label) != "und")
+    return found.withColumn("lang", F.coalesce("lang", label)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least id. Rows of one id are one document."""
     kept = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("copy_", F.row_number().over(one)).where("copy_ = 1")
+    copy = bpe.fresh(docs, "copy")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1)
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    d = docs.withColumn("key_", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
-    found = decontam.contamination(d, queries.load(spark, sf_dir, "benchmark"), key="key_").where(decontam.contaminated())
-    return d.join(found.select("key_").distinct(), "key_", "left_anti").select(*docs.columns)
+    key = bpe.fresh(docs, "key")
+    d = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
+    found = decontam.contamination(d, queries.load(spark, sf_dir, "benchmark"), key=key).where(decontam.contaminated())
+    return d.join(found.select(key).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     spec = bpe.read_spec(queries.tokenizer_path())
-    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), spec, ids="ids").drop("text")
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), spec, ids="ids", keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

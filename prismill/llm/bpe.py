@@ -10,8 +10,7 @@ Defined results
 - null or empty text, or white space only: no ids, decoded text is empty
 - a text of any length is encoded whole; a word is bounded only by the text
 - repeated rows give repeated results, an empty table gives an empty table
-- columns of the input other than the chosen ones are kept, in place; a clash
-  with an output name is an error raised before any job starts
+- columns of the input are kept; one that has an output's name is replaced by the output
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words kept with their ids in each Python worker; beyond that the memory is emptied and filled anew.
@@ -37,6 +37,21 @@ CACHED_WORDS = 250_000
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+#: Fixed: ranges of letters and numbers of Unicode 16 that Python's tables don't have yet, and small letters of newer capitals.
+_NEWER = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0),
+    (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _sign(c: str) -> bool:
+    """A code point without a letter or number in the tokenizers' Unicode."""
+    return unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in _NEWER)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -65,7 +80,7 @@ class WordEncoder:
         self.inner = [vocab[c] for c in byte_symbols()]
         self.final = [vocab[c + end] for c in byte_symbols()]
         splits = [p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pieces = regex.compile(splits[0]).findall
+        self.pieces = regex.compile(splits[0])
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.limit = cached_words
         self.words = _Memory(self._word, cached_words)
@@ -97,7 +112,11 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return b"".join(map(self.piece_ids.__getitem__, self.pieces(word)))
+        cut = word
+        if not word.isascii():  # the regex module's Unicode is newer than the tokenizers', Python's older
+            word = word.translate(_SMALL)
+            cut = "".join("\uffff" if _sign(c) else c for c in word)
+        return b"".join(self.piece_ids[word[m.start() : m.end()]] for m in self.pieces.finditer(cut))
 
     def _plain(self, text: str) -> bytes:
         if any(c in text for c in _SEPARATORS):
@@ -192,32 +211,44 @@ def texts(column: pa.ChunkedArray | pa.Array, chars: int = 1 << 22) -> Iterator[
         at = end
 
 
-def added(df: DataFrame, *fields: T.StructField) -> T.StructType:
-    """The input's schema with new fields; refuses names that it has already."""
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the input's."""
     have = {c.lower() for c in df.columns}
-    if clash := [f.name for f in fields if f.name.lower() in have]:
-        raise ValueError(f"the input has columns named {clash} already; name the outputs otherwise")
-    return T.StructType([*df.schema.fields, *fields])
+    while name.lower() in have:
+        name += "_"
+    return name
+
 
+def added(df: DataFrame, *fields: T.StructField, reads: str = "") -> tuple[DataFrame, T.StructType, str]:
+    """The input without columns that the new fields replace, the schema with these, and the name under which ``reads`` is found now."""
+    new = {f.name.lower() for f in fields}
+    at = reads
+    if reads.lower() in new:
+        at = fresh(df, reads)
+        df = df.withColumn(at, F.col(reads))
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new))
+    return df, T.StructType([*df.schema.fields, *fields]), at
 
-def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make) -> DataFrame:
-    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple."""
-    schema = added(df, *(T.StructField(n, t) for n, t in fields.items()))
-    names = list(fields)
+
+def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep: bool = True) -> DataFrame:
+    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple. Columns of these names are replaced; the text itself need not be kept."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    d, schema, at = added(df, *(T.StructField(n, t) for n, t in fields.items()), reads=column)
+    names, types = list(fields), [to_arrow_type(t) for t in fields.values()]
+    stay = [c for c in d.columns if keep and at == column or c != at]
+    schema = T.StructType([f for f in schema.fields if f.name in stay or f.name in fields])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for part in texts(batch.column(column)):
+            for part in texts(batch.column(at)):
                 rows += map(make, part)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), *made], names=[*stay, *names])
 
-    types = [to_arrow_type(t) for t in fields.values()]
-    return df.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, spec: str, column: str = "text", to: str = "ids") -> DataFrame:
@@ -227,19 +258,20 @@ def encode(df: DataFrame, spec: str, column: str = "text", to: str = "ids") -> D
 
 def decode(df: DataFrame, spec: str, column: str = "ids", to: str = "decoded") -> DataFrame:
     """Add the text of each array of ids; null gives an empty text."""
-    schema = added(df, T.StructField(to, T.StringType()))
+    d, schema, at = added(df, T.StructField(to, T.StringType()), reads=column)
 
     def run(batches):
         for batch in batches:
             code = encoder(spec)
-            out = [code.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(column).to_pylist()]
+            out = [code.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    out = d.mapInArrow(run, schema)
+    return out if at == column else out.drop(at)
 
 
-def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None = None) -> DataFrame:
-    """Encode each text and decode its ids again in one pass: n_tokens, ids_sha256 and decoded_sha256 are added, on request also the ids."""
+def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None = None, keep: bool = True) -> DataFrame:
+    """Encode each text and decode its ids again in one pass: n_tokens, ids_sha256 and decoded_sha256 are added, on request also the ids; the text need not be kept."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
     fields = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
@@ -248,4 +280,4 @@ def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None =
         out = len(data) // 4, sha(data), sha(code.decode(data).encode())
         return (*out, np.frombuffer(data, "<i4")) if ids else out
 
-    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make)
+    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make, keep)

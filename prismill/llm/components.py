@@ -9,7 +9,7 @@ no longer change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prismill.llm.store import Scratch
@@ -22,17 +22,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     say nothing and are passed over; repeated links count once; no links give an empty table.
     """
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = scratch.table(e, "links")
-    state = None
+    before = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        seen = Observation()  # counted while it is written
+        sign = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        e = scratch.table(e.observe(seen, F.count(F.lit(1)).alias("n"), sign.alias("sign")), "links")
+        now = (seen.get["n"], seen.get["sign"])
+        if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        e = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

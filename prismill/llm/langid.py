@@ -13,7 +13,7 @@ Defined results
 - null or empty text, or one without letters: ``und`` with score 0 and no spans
 - letters of a script that no learned language has: the commonest language, score 0
 - null labels and null ids aren't learned from; ties go to the language first in order
-- repeated rows are labelled alike; columns other than the chosen ones are kept, a clash of names is an error
+- repeated rows are labelled alike; columns are kept, one that has an output's name is replaced
 - an empty table gives an empty table; without any label every text is ``und``
 """
 
@@ -209,14 +209,14 @@ SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first
 def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
     """Add each text's language and the share of its letters in that language's spans; on request also the spans."""
     new = [T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())] + ([T.StructField(spans, T.ArrayType(SPAN))] if spans else [])
-    schema = added(docs, *new)
+    d, schema, column = added(docs, *new, reads=text)
     names = [*model.languages, "und"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
             at = 0
-            for part in texts(batch.column(text), 1 << 23):
+            for part in texts(batch.column(column), 1 << 23):
                 rows = batch.slice(at, len(part))
                 at += len(part)
                 found = [words(t) if model.languages else [] for t in part]
@@ -232,7 +232,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "lang_
                     made.append(pa.array(_spans(path, lengths, names), pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*rows.schema.names, *(f.name for f in new)])
 
-    return docs.mapInArrow(run, schema)
+    out = d.mapInArrow(run, schema)
+    return out if column == text else out.drop(column)
 
 
 def _spans(path: np.ndarray, lengths: np.ndarray, names: list[str]) -> list[list[dict]]:

@@ -12,10 +12,12 @@ node c that meets most others in bands; what that links becomes one component.
 After ``ROUNDS`` rounds the groups that still hold several components are
 finished exactly, by what their nodes have beyond c and lack of it. For nodes
 s and x that aren't both linked with c, |s & x| = |s & x & c| + |(s - c) & (x - c)|
-and the first part is at most |c| less the larger lack, so a link needs a
-shared hash beyond c or, where x is smaller than c and the sizes allow it, a
-shared lack. An inverted index of these differences, which near copies of one
-text hardly share, gives the remaining pairs. No group is capped or sampled.
+and the first part is at most |c| less the larger lack, so a link needs so
+many shared hashes beyond c or, where x is smaller than c and the sizes allow
+it, a shared lack. An inverted index of these differences, cut to the prefixes
+that such an overlap must touch, brings nodes together, and the join's own
+condition compares their differences from c, which gives their similarity
+exactly; only links come out of it. No group is capped or sampled.
 
 With 32 bands of 5 registers a pair at similarity 0.85 is missed by all bands
 with a probability of 7e-9, one at 0.8 with 3e-6.
@@ -148,21 +150,26 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of nodes a with their pivots b: a row for each hash beyond the pivot, and for each one lacking where a link without the others is possible."""
+    """Of nodes a with their pivots b: the lack, all differences (lacks under another name), and those to look for in the index.
+
+    low is the least size of a node of the pivot. A link needs ``least`` shared
+    hashes beyond the pivot, so two nodes share one among the first of each.
+    """
     share = percent / (100 + percent)
     for batch in batches:
-        out: list[list] = [[], []]
-        for i, (x, y, low) in enumerate(zip(batch.column("ha"), batch.column("hb"), batch.column("low").to_pylist(), strict=True)):
+        lacks, diffs, looks = [], [], []
+        for x, y, low in zip(batch.column("ha"), batch.column("hb"), batch.column("low").to_pylist(), strict=True):
             p, c = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            beyond, lack = np.setdiff1d(p, c, assume_unique=True), np.setdiff1d(c, p, assume_unique=True)
-            may = low < len(c) and share * (len(p) + low) <= len(c) - len(lack) + 1e-9
-            some = np.concatenate([beyond, mix(lack)]) if may else beyond
-            out[0].append(some)
-            out[1].append(np.full(len(some), i))
-        if out[0]:
-            h, of = map(np.concatenate, out)
-            of = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(of), batch.column("b").take(of), pa.array(signed(h))], names=["doc", "pivot", "hash"])
+            beyond, lack = np.setdiff1d(p, c, assume_unique=True), mix(np.setdiff1d(c, p, assume_unique=True))
+            least = int(np.ceil(share * (len(p) + low) - len(c) + len(lack) - 1e-9))
+            look = beyond[: max(0, len(beyond) - max(least, 1) + 1)]
+            if least <= 0 and low < len(c):
+                look = np.concatenate([look, lack])
+            lacks.append(len(lack))
+            diffs.append(np.concatenate([beyond, lack]))
+            looks.append(look)
+        cols = [batch.column("a"), batch.column("b"), batch.column("na"), pa.array([len(y.as_buffer()) // 8 for y in batch.column("hb")], pa.int64()), pa.array(lacks, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*cols, *(wordhash.lists([signed(v) for v in x], pa.int64()) for x in (diffs, looks))], names=["doc", "pivot", "n", "np", "lack", "diff", "look"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
@@ -174,6 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     real = sig.where("n > 0 AND doc IS NOT NULL")
     equal = scratch.table(real.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep")), "equal")
     member = scratch.table(real.select("doc", "k1", "k2", "n").join(equal, ["k1", "k2", "n"]).where("doc <> rep").select("doc", "rep"), "member")
+    scratch.settle()
     nodes = real.join(equal.select("k1", "k2", "n", F.col("rep").alias("doc")), ["k1", "k2", "n", "doc"])
 
     band = nodes.select("doc", F.explode("bands").alias("band"))
@@ -184,6 +192,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     full = d.join(node.select("doc", "n", "k1", "k2"), "doc").mapInArrow(lambda b: _sets(b, shingle, lower), f"doc {kind}, n bigint, k1 bigint, k2 bigint, own bigint, hashes binary")
     sets = scratch.table(full.where("own = k1").groupBy("doc").agg(F.first("hashes").alias("hashes")), "sets")
 
+    scratch.settle()
+
     def side(t: DataFrame, c: str, **names: str) -> DataFrame:
         return t.select(F.col("doc").alias(c), *(F.col(v).alias(k) for k, v in names.items()))
 
@@ -220,6 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         new = scratch.table(verified(pairs), "links")
         links = new if links is None else links.unionByName(new)
         label = labelled(links)
+        scratch.settle()
         left = m.select("band", "doc")
 
     comps = label.select("doc", "comp")
@@ -229,14 +240,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     pairs = scratch.table(pairs, "open")
     pairs = pairs.join(pairs.groupBy("b").agg(F.min("na").alias("low")), "b")
     pairs = pairs.join(side(sets, "a", ha="hashes"), "a").join(side(sets, "b", hb="hashes"), "b")
-    index = pairs.mapInArrow(lambda b: _differences(b, percent), f"doc {kind}, pivot {kind}, hash bigint")
-    index = scratch.table(index.join(comps, "doc"), "differences")
+    diff = pairs.mapInArrow(lambda b: _differences(b, percent), f"doc {kind}, pivot {kind}, n bigint, np bigint, lack bigint, diff array<bigint>, look array<bigint>")
+    diff = scratch.table(diff.join(comps, "doc"), "differences")
+    index = diff.select("pivot", "doc", "comp", F.explode("look").alias("hash"))
     several = index.groupBy("pivot", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pivot", "hash")
-    index = scratch.table(index.join(several, ["pivot", "hash"]), "shared")
-    x, y = (index.select("pivot", "hash", F.col("doc").alias(f"doc_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
-    meet = (x["pivot"] == y["pivot"]) & (x["hash"] == y["hash"]) & (F.col("doc_x") < F.col("doc_y")) & (F.col("comp_x") != F.col("comp_y"))
-    pairs = x.join(y, meet).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
-    links = links.unionByName(scratch.table(verified(pairs), "links"))
+    index = index.select("pivot", "doc", "hash").join(several, ["pivot", "hash"]).join(diff.drop("look"), ["pivot", "doc"])
+    index = scratch.table(index, "shared")
+    x, y = (index.select("pivot", "hash", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n", "np", "lack", "diff"))) for s in "xy")
+    meet = F.col("np_x") - F.col("lack_x") - F.col("lack_y") + F.size(F.array_intersect("diff_x", "diff_y"))
+    near = 100 * meet >= percent * (F.col("n_x") + F.col("n_y") - meet)
+    apart = (F.col("doc_x") < F.col("doc_y")) & (F.col("comp_x") != F.col("comp_y"))
+    may = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    pairs = x.join(y, (x["pivot"] == y["pivot"]) & (x["hash"] == y["hash"]) & apart & may & near)
+    links = links.unionByName(scratch.table(pairs.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct(), "links"))
     comp = components(links, scratch).select(F.col("node").alias("rep"), "component")
 
     named = member.join(comp, "rep", "left").select("doc", F.coalesce("component", "rep").alias("c"))

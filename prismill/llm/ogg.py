@@ -19,7 +19,7 @@ Defined results
 - a text of any length gives as many pages as it needs; equal texts give equal bytes
 - a page with a wrong checksum is passed over and counted; reading goes on at
   the next capture pattern; null or foreign bytes have no stream
-- ids aren't read, so null or repeated ids do no harm; columns that clash with outputs are an error
+- ids aren't read, so null or repeated ids do no harm; a column that has an output's name is replaced
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from prismill.llm.bpe import added, texts
+from prismill.llm.bpe import mapped
 
 CAPTURE = b"OggS"
 BLOCK = 64
@@ -206,17 +205,7 @@ def feature(m: Media) -> str:
 
 def stored(df: DataFrame, column: str = "text", to: str = "media") -> DataFrame:
     """Replace a text column by a column of Ogg bytes."""
-    schema = added(df.drop(column), T.StructField(to, T.BinaryType()))
-
-    def run(batches):
-        for batch in batches:
-            at, keep = 0, [n for n in batch.schema.names if n != column]
-            for part in texts(batch.column(column)):
-                rows = batch.slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in keep), pa.array(map(store, part), pa.binary())], names=[*keep, to])
-
-    return df.mapInArrow(run, schema)
+    return mapped(df, column, {to: T.BinaryType()}, lambda text: (store(text),), keep=False)
 
 
 FIELDS = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
@@ -224,19 +213,10 @@ FIELDS = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha25
 
 def described(df: DataFrame, column: str = "media") -> DataFrame:
     """Replace a column of Ogg bytes by what they hold: sizes, digests and a feature string."""
-    keep = [n for n in df.columns if n != column]
-    schema = added(df.drop(column), *(T.StructField(n, t) for n, t in FIELDS.items()))
 
     def one(data: bytes | None) -> tuple:
         m, data = load(data), data or b""
         sha = hashlib.sha256
         return m.n_bytes, len(m.payload), sha(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), len(data), sha(data).hexdigest(), feature(m)
 
-    def run(batches):
-        for batch in batches:
-            rows = [one(x.as_py()) for x in batch.column(column)]
-            cols = [pa.array(c, pa.string() if isinstance(t, T.StringType) else pa.int64()) for c, t in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *cols], names=[*keep, *FIELDS])
-
-    return df.mapInArrow(run, schema)
+    return mapped(df, column, FIELDS, one, keep=False)

@@ -33,7 +33,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     spec = bpe.read_spec(tokenizer or tokenizer_path())
-    return bpe.round_trip(docs, spec).drop("text")
+    return bpe.round_trip(docs, spec, keep=False)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

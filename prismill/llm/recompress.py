@@ -244,10 +244,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     roles = passages.join(first, ["high", "low"]).select("doc", (packed + F.col("n")).alias("span"), ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0"))).alias("first"))
     roles = scratch.table(roles, "roles")
     scratch.drop(passages, spans)
+    scratch.settle()
     heads = by_doc(roles.where("first"), "spans")
     wins = scratch.table(d.join(heads, "doc").mapInArrow(lambda b: _windows(b, window), f"high bigint, low int, doc {kind}, at int"), "windows")
+    scratch.settle()
     first = wins.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1")
     first = scratch.table(first.select("high", "low", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0")), "first")
+    scratch.settle()
     partly = wins.join(first, ["high", "low"]).where("doc <> doc0 OR at <> at0").select("doc", (packed + 1).alias("span"))
     partly = scratch.table(partly, "partly")
     scratch.drop(wins, first, heads)

@@ -46,7 +46,6 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: later plans start from files that any executor can read."""
-        self.settle()
         at = self.folder(name)
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)

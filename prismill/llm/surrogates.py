@@ -17,7 +17,7 @@ column functions are used.
 Defined results
 - null text stays null, a text without entities stays as it is, both with 0 entities
 - overlapping patterns: the leftmost match counts, of several there the first in order of ``PATTERNS``
-- repeated rows and null ids are rows of their own; all columns are kept, a clash with an output name is an error
+- repeated rows and null ids are rows of their own; all columns are kept, one named as the count is replaced
 - texts of any length are read whole; an empty table gives an empty table
 """
 
@@ -25,10 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prismill.llm import spotting
-from prismill.llm.bpe import added
 from prismill.llm.store import Scratch
 
 #: Titles that tell a gender, as fixed values.
@@ -190,17 +188,17 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str = "n_enti
 
     ``key`` is the secret: the same key gives the same surrogates in every run.
     """
-    added(docs, T.StructField(count, T.LongType()))
     scratch = Scratch(docs.sparkSession, "surrogates")
+    names = [c for c in docs.columns if c.lower() != count.lower()]
     has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    clean = docs.where(~has).withColumn(count, F.lit(0).cast("long"))
-    rows = docs.where(has).select(F.struct(*docs.columns).alias("row"), spotting.gaps(F.col(text), ANY).alias("gaps"), spotting.hits(F.col(text), ANY).alias("hits"))
+    clean = docs.where(~has).select(*(F.col(f"`{c}`") for c in names), F.lit(0).cast("long").alias(count))
+    rows = docs.where(has).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), spotting.gaps(F.col(text), ANY).alias("gaps"), spotting.hits(F.col(text), ANY).alias("hits"))
     rows = scratch.table(rows.withColumn("n", F.monotonically_increasing_id()), "rows")
     hits = rows.select("n", F.posexplode("hits").alias("i", "hit")).withColumn("kind", kind(F.col("hit")))
     hits = scratch.table(hits.withColumn("canon", canonical(F.col("kind"), F.col("hit"))), "hits")
     table = entities(hits.select("kind", "canon"), key, scratch)
     new = hits.join(table, ["kind", "canon"]).withColumn("kind_", F.col("kind"))
     new = new.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("i", _written(F.col("kind"), F.col("hit"), F.col("sub")).alias("new")))).alias("subs"))
-    done = rows.join(new, "n").withColumn("text_", spotting.woven(F.col("gaps"), F.transform("subs", lambda s: s["new"])))
-    done = done.select("row.*", F.size("subs").cast("long").alias(count), "text_").withColumn(text, F.col("text_")).drop("text_")
+    whole = spotting.woven(F.col("gaps"), F.transform("subs", lambda s: s["new"]))
+    done = rows.join(new, "n").select(*(whole.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names), F.size("subs").cast("long").alias(count))
     return clean.unionByName(done)
