@@ -259,9 +259,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     schema = f"doc {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     out = d.join(later, "doc", "left").mapInArrow(lambda b: _kept(b, window, texts_too), schema)
     if named is not None:
-        out = named.join(out, "doc")
-        rows = given.withColumn("tie", F.coalesce("text", F.lit("")))
-        out = rows.join(out.withColumn("tie", F.coalesce("text", F.lit(""))).drop("doc", "text"), F.expr("doc <=> id") & (rows["tie"] == F.coalesce(out["text"], F.lit(""))))
-        out = out.select("doc", "n_words", "n_removed", "kept_sha256", "kept_text")
+        out = named.select("doc", F.col("id").alias("own_id"), F.col("text").alias("own_text")).join(out, "doc").drop("doc")
+        out = given.join(out, F.col("doc").eqNullSafe(F.col("own_id")) & F.col("text").eqNullSafe(F.col("own_text"))).select("doc", "n_words", "n_removed", "kept_sha256", "kept_text")
     out = out.withColumnRenamed("doc", key)
     return out if texts_too else out.drop("kept_text")
