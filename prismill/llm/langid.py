@@ -104,6 +104,7 @@ class Labeller:
     def _empty(self) -> None:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(1 << 12, bool)
 
     def _learn(self, some: list[str]) -> None:
         which, of, script = grams(some)
@@ -118,11 +119,13 @@ class Labeller:
         at = len(self.index)
         while at + len(some) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         self.scores[at : at + len(some)] = s
+        self.letters[at : at + len(some)] = [w.isalpha() or any(map(str.isalpha, w)) for w in some]
         self.index.update(zip(some, range(at, at + len(some)), strict=True))
 
-    def label(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The language of each word of all texts in one array, and the words' lengths with 0 for words of foreign scripts."""
+    def label(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of all texts in one array: its language, its length with 0 for words of foreign scripts, and whether it has letters (and not only numbers like ½)."""
         flat = [w for d in docs for w in d]
         new = list(set(flat).difference(self.index))
         if len(self.index) + len(new) > CACHED_WORDS and self.index:
@@ -133,7 +136,8 @@ class Labeller:
         ids = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         size = np.fromiter(map(len, flat), np.int64, len(flat))
         s = self.scores[ids]
-        return _viterbi(s, np.array([len(d) for d in docs])), np.where(s.any(1) | (s.shape[1] == 1), size, 0)
+        letters = self.letters[ids]
+        return _viterbi(s, np.array([len(d) for d in docs])), np.where(letters & (s.any(1) | (s.shape[1] == 1)), size, 0), letters
 
 
 def _viterbi(scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -221,11 +225,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "lang_
                 at += len(part)
                 found = [words(t) if model.languages else [] for t in part]
                 lengths = np.array([len(w) for w in found])
-                path, size = labeller.label(found) if lengths.sum() else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+                path, size, letters = labeller.label(found) if lengths.sum() else (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool))
                 doc = np.repeat(np.arange(len(part)), lengths)
+                lettered = np.bincount(doc, letters, len(part)) > 0
                 share = np.bincount(doc * len(names) + path, size, len(part) * len(names)).reshape(len(part), -1)
                 total = share.sum(1)
-                best = np.where(total > 0, share.argmax(1), np.where(lengths > 0, model.commonest, len(names) - 1))
+                best = np.where(total > 0, share.argmax(1), np.where(lettered, model.commonest, len(names) - 1))
                 value = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
                 made = [pa.array([names[i] for i in best], pa.string()), pa.array(value)]
                 if spans:

@@ -90,7 +90,7 @@ def test_mixed_text_gets_spans():
         scripts[name] = np.bincount(s, [len(w) for w in some], len(langid._NAMES))
     model = langid.Model.of(counts, scripts)
     docs = [en + ru + fr * 2, ru, ["日本"], en[:1]]
-    path, size = langid.Labeller(model).label(docs)
+    path, size, _ = langid.Labeller(model).label(docs)
     names = [model.languages[i] for i in path]
     assert names[: len(en)] == ["en"] * len(en) and names[len(en) : len(en) + len(ru)] == ["ru"] * len(ru)
     assert names[len(en) + len(ru) : len(en) + len(ru) + len(fr)] == ["fr"] * len(fr)
@@ -121,6 +121,8 @@ def test_language_edges(spark):
     assert out[4, "one two three"].lang_pred == "en" and out[6, edge.LONG].lang_pred == "en"
     assert out[4, "one two three"].key == "kept4"
     assert langid.identify(edge.empty(spark), model).count() == 0
+    signs = spark.createDataFrame([(1, "12 ½ ² Ⅷ"), (2, "日本")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(signs, model).orderBy("doc_id").collect()] == ["und", "en"]
     none = langid.fit(edge.empty(spark))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
