@@ -18,11 +18,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -30,8 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prismill.llm import wordhash
+
 #: Words kept with their ids in each Python worker; beyond that the memory is emptied and filled anew.
 CACHED_WORDS = 250_000
+#: The same for the compact table that encoding of many texts uses.
+TABLE_WORDS = 2_000_000
 
 #: White space to Python's split() that the tokenizer files treat as symbols.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -84,7 +90,8 @@ class WordEncoder:
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.limit = cached_words
         self.words = _Memory(self._word, cached_words)
-        self.piece_ids = _Memory(self._merge, cached_words // 3)
+        self.table = _Table()
+        self.piece_ids = _Memory(self._merge, cached_words)
 
     def _merge(self, piece: str) -> bytes:
         data = piece.encode()
@@ -132,7 +139,30 @@ class WordEncoder:
             return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in parts)
         return self._plain(text)
 
-    def decode(self, ids: bytes) -> str:
+    def _any(self, word: str) -> bytes:
+        """Ids of what stands between ASCII white space."""
+        return self.encode(word) if "<|" in word or not word.isprintable() else self._word(word)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers: equal words of all texts are found by hash and looked up once."""
+        parts = [(t or "").encode() for t in texts]
+        if not parts:
+            return []
+        data = b"\n".join(parts)
+        first, last = wordhash.spans(data)
+        code, unique = pd.factorize(wordhash.hashes(data, first, last))
+        at = np.zeros(len(unique), np.int64)
+        at[code[::-1]] = np.arange(len(code))[::-1]
+        start, size = self.table.places(data, unique, first[at], last[at], self._encode_words)
+        n = size[code]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = self.table.ids[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
+        return np.split(ids, end[np.searchsorted(first, np.cumsum([len(p) + 1 for p in parts]))][:-1])
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return list(map(self._any, words))
+
+    def decode(self, ids: bytes | np.ndarray) -> str:
         """The vocabulary strings of the ids, with one space between, as files without a decoder ask for."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -141,6 +171,7 @@ class LibraryEncoder(WordEncoder):
     """The same ids from the tokenizers library, asked once for each word that isn't remembered."""
 
     def __init__(self, spec: str, cached_words: int = CACHED_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__(spec, cached_words)
@@ -152,8 +183,48 @@ class LibraryEncoder(WordEncoder):
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        # What split() and the library disagree on is left to the library.
-        return self._word(text) if any(c in text for c in _SEPARATORS) else b"".join(map(self.words.__getitem__, text.split()))
+        return self._word(text)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+class _Table:
+    """Words seen, as sorted arrays: a 64-bit hash, another of 32 bits against chance, and where the word's ids are.
+
+    Some 30 bytes a word, where a dict takes 200. Emptied beyond ``TABLE_WORDS``.
+    """
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 12, "<u4"), 0
+
+    def places(self, data: bytes, keys: np.ndarray, first: np.ndarray, last: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these different words are, and how many; words not seen before are encoded."""
+        if len(self.keys) > TABLE_WORDS:
+            self.__init__()
+        check = (wordhash.mix(wordhash.hashes(data, first, last, seed=1)) >> np.uint64(32)).astype(np.uint32)
+        at = np.searchsorted(self.keys, keys)
+        safe = np.minimum(at, max(0, len(self.keys) - 1))
+        known = (self.keys[safe] == keys) & (self.checks[safe] == check) if len(self.keys) else np.zeros(len(keys), bool)
+        start, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[known], size[known] = self.starts[safe[known]], self.sizes[safe[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            got = encode([data[a:b].decode() for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)])
+            size[new] = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+            end = self.used + np.cumsum(size[new])
+            start[new] = end - size[new]
+            if end[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(end[-1]) - len(self.ids)), "<u4")])
+            self.ids[self.used : end[-1]] = np.frombuffer(b"".join(got), "<u4")
+            self.used = int(end[-1])
+            order = new[np.argsort(keys[new])]
+            to = np.searchsorted(self.keys, keys[order])
+            self.keys, self.checks = np.insert(self.keys, to, keys[order]), np.insert(self.checks, to, check[order])
+            self.starts, self.sizes = np.insert(self.starts, to, start[order]), np.insert(self.sizes, to, size[order])
+        return start, size
 
 
 class _Memory(dict):
@@ -230,8 +301,8 @@ def added(df: DataFrame, *fields: T.StructField, reads: str = "") -> tuple[DataF
     return df, T.StructType([*df.schema.fields, *fields]), at
 
 
-def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep: bool = True) -> DataFrame:
-    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple. Columns of these names are replaced; the text itself need not be kept."""
+def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep: bool = True, whole: bool = False) -> DataFrame:
+    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple, or with ``whole`` make(texts) -> tuples. Columns of these names are replaced; the text itself need not be kept."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     d, schema, at = added(df, *(T.StructField(n, t) for n, t in fields.items()), reads=column)
@@ -243,7 +314,7 @@ def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep
         for batch in batches:
             rows = []
             for part in texts(batch.column(at)):
-                rows += map(make, part)
+                rows += make(part) if whole else map(make, part)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), *made], names=[*stay, *names])
@@ -253,7 +324,7 @@ def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep
 
 def encode(df: DataFrame, spec: str, column: str = "text", to: str = "ids") -> DataFrame:
     """Add the ids of each text as an array of integers."""
-    return mapped(df, column, {to: T.ArrayType(T.IntegerType(), False)}, lambda t: (np.frombuffer(encoder(spec).encode(t), "<i4"),))
+    return mapped(df, column, {to: T.ArrayType(T.IntegerType(), False)}, lambda ts: [(x.view(np.int32),) for x in encoder(spec).encode_all(ts)], whole=True)
 
 
 def decode(df: DataFrame, spec: str, column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -275,9 +346,10 @@ def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None =
     sha = lambda b: hashlib.sha256(b).hexdigest()
     fields = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
-    def make(text):
-        data = (code := encoder(spec)).encode(text)
-        out = len(data) // 4, sha(data), sha(code.decode(data).encode())
-        return (*out, np.frombuffer(data, "<i4")) if ids else out
+    def make(texts):
+        code = encoder(spec)
+        for x in code.encode_all(texts):
+            out = len(x), sha(x), sha(code.decode(x).encode())
+            yield (*out, x.view(np.int32)) if ids else out
 
-    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make, keep)
+    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make, keep, whole=True)

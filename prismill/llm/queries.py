@@ -48,7 +48,7 @@ def op5_surrogates(spark: SparkSession, sf_dir: str, key: str = "published key o
 def op6_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     spec = bpe.read_spec(tokenizer or tokenizer_path())
-    manifest = tokenbin.write(docs, lambda text: bpe.library(spec).encode(text), 2, Scratch(spark, "shards"), vocabulary=49408)
+    manifest = tokenbin.write(docs, lambda texts: bpe.library(spec).encode_all(texts), 2, Scratch(spark, "shards"), vocabulary=49408)
     return tokenbin.described(manifest)
 
 

@@ -164,7 +164,7 @@ def _writer(batches: Iterator[pa.RecordBatch], folder: str, encode, end: int, wi
     part = TaskContext.get().partitionId()
     ids, keys, count, out = [], [], 0, []
     fs, at = _open(folder)
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u4")
 
     def close():
         nonlocal ids, keys, count
@@ -178,7 +178,7 @@ def _writer(batches: Iterator[pa.RecordBatch], folder: str, encode, end: int, wi
     for batch in batches:
         column, done = batch.column(0).fill_null(NULL_KEY).to_numpy(), 0
         for some in texts(batch.column(1)):
-            got = [np.frombuffer(encode(t) + tail, "<u4").astype(f"<u{width}") for t in some]
+            got = [np.append(x, tail).astype(f"<u{width}") for x in encode(some)]
             ids += got
             keys.append(column[done : done + len(some)])
             done += len(some)
@@ -194,7 +194,7 @@ def _writer(batches: Iterator[pa.RecordBatch], folder: str, encode, end: int, wi
 def write(docs: DataFrame, encode, end: int, scratch: Scratch, vocabulary: int, key: str = "doc_id", text: str = "text", parts: int | None = None, shard_tokens: int = 1 << 24) -> DataFrame:
     """Write all rows in ascending key order as shards; the manifest, with the ids before each shard.
 
-    encode gives a text's ids as bytes and is sent to the executors. Rows of one
+    encode gives the ids of each of a list of texts and is sent to the executors. Rows of one
     key may be dealt to several parts, by a hash of their text, so that no key is too large for a task.
     """
     spark = docs.sparkSession

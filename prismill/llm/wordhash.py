@@ -31,12 +31,12 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each word, eight bytes of all words at a time."""
     padded = np.frombuffer(data + bytes(8), np.uint8)
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     left = ends - starts
-    h = mix(left.astype(np.uint64) * _A + _A)
+    h = mix(left.astype(np.uint64) * _A + _A + np.uint64(seed * 0x5851F42D4C957F2D % (1 << 64)))
     some, at = np.arange(len(starts)), starts
     while len(some):
         size = np.minimum(left[some], 8)

@@ -31,6 +31,14 @@ def test_ids_and_texts_equal_the_library(text):
     assert OWN.decode(got) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("ab'sT \x1c\u00a0\n<|endoftext|>é1²", max_size=40), max_size=8))
+def test_texts_encoded_together_equal_the_library(texts):
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in OWN.encode_all(texts)] == want
+    assert [x.tolist() for x in bpe.library(SPEC).encode_all(texts)] == want
+
+
 def test_special_tokens_in_texts():
     for text in ("<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "it's <| endoftext|>"):
         assert np.frombuffer(OWN.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
@@ -204,7 +212,7 @@ def test_shards_query(spark, tiny):
 def test_shards_by_key_and_edges(spark):
     docs = edge.documents(spark)
     scratch = Scratch(spark, "test")
-    manifest = tokenbin.write(docs, lambda t: bpe.library(SPEC).encode(t), 2, scratch, 49408, parts=3, shard_tokens=1000)
+    manifest = tokenbin.write(docs, lambda ts: bpe.library(SPEC).encode_all(ts), 2, scratch, 49408, parts=3, shard_tokens=1000)
     keys = spark.createDataFrame([(4,), (6,), (0,), (None,), (99,)], "doc_id long")
     got = {}
     for r in tokenbin.lookup(manifest, keys).collect():
@@ -212,7 +220,7 @@ def test_shards_by_key_and_edges(spark):
     enc = lambda t: [*LIBRARY.encode(t, add_special_tokens=False).ids, 2]
     assert got == {4: [enc("one two three")] * 2, 6: [enc(edge.LONG)], 0: [[2]], None: [enc("a text without an id")]}
     assert tokenbin.described(manifest).count() == docs.count()
-    none = tokenbin.write(edge.empty(spark), lambda t: b"", 2, scratch, 49408, parts=2)
+    none = tokenbin.write(edge.empty(spark), lambda ts: [], 2, scratch, 49408, parts=2)
     assert none.count() == 0 and tokenbin.described(none).count() == 0
 
 
