@@ -149,14 +149,16 @@ def probability(forest: list, of: Column) -> Column:
 def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source") -> DataFrame:
     """Each row as one struct, with gaps, hits and found: of every candidate its value, number and probability."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), spotting.gaps(F.col(text), CANDIDATE).alias("gaps"), spotting.hits(F.col(text), CANDIDATE).alias("hits"), where.alias("where"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    d = spotting.once(docs, row, spotting.gaps(F.col(text), CANDIDATE).alias("gaps"), spotting.hits(F.col(text), CANDIDATE).alias("hits"), where.alias("where"))
 
     def looked_at(h: Column, i: Column) -> Column:
         before, after = F.right(F.get("gaps", i), F.lit(BEFORE)), F.left(F.get("gaps", i + 1), F.lit(AFTER))
         return F.struct(h.alias("value"), i.alias("i"), *(c.alias(k) for k, c in features(h, before, after, F.col("where")).items()))
 
-    d = d.withColumn("found", F.transform("hits", looked_at))
-    return d.withColumn("found", F.transform("found", lambda s: F.struct(s["value"].alias("value"), s["i"].alias("i"), probability(forest, s).alias("p"))))
+    looks = F.transform("hits", looked_at)
+    found = F.transform(looks, lambda s: F.struct(s["value"].alias("value"), s["i"].alias("i"), probability(forest, s).alias("p")))
+    return spotting.once(d, F.col("row"), F.col("gaps"), F.col("hits"), found.alias("found"))
 
 
 def kind(value: Column) -> Column:
@@ -169,8 +171,7 @@ def kind(value: Column) -> Column:
 def findings(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
     """One row per secret: key, start, n_chars, kind, value_sha256 and probability. The secret itself isn't returned."""
     d = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(path).alias("path")] if path else [])), forest, "text", "path" if path else None)
-    d = d.withColumn("sure", F.filter("found", lambda s: s["p"] >= least)).where(F.size("sure") > 0)
-    d = d.select("row.key", "gaps", "hits", F.explode("sure").alias("s"))
+    d = d.select("row.key", "gaps", "hits", F.explode(F.filter("found", lambda s: s["p"] >= least)).alias("s"))
     value = F.col("s.value")
     return d.select(
         F.col("key").alias(key), spotting.start(F.col("gaps"), F.col("hits"), F.col("s.i")).cast("long").alias("start"), F.length(value).cast("long").alias("n_chars"),

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Select columns so that each is worked out once a row.
+
+    The optimizer moves conditions below projections and repeats what they
+    refer to, which for patterns over whole texts is dear. It can't do so
+    through a generator, here of one element.
+    """
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("once")).select("once.*")
+
+
 def hits(text: Column, pattern: str) -> Column:
     """All matches in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
