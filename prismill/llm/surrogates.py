@@ -45,6 +45,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.?{_GAP}{_NAME}(?:{_GAP}{_NAME})?",
 }
 ANY = "|".join(PATTERNS.values())
+#: What every entity but a name has, and the beginnings of titles: looked for before the patterns, which take longer.
+SIGN = "[0-9@]"
+TITLES = ("Mr", "Ms", "Miss", "Mme", "Madame", "Frau", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Госпожа", "Κύριος", "Κυρία")
 #: Attempts at a surrogate before the corpus is said to have more entities than its formats allow.
 ATTEMPTS = 60
 
@@ -190,7 +193,10 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str = "n_enti
     """
     scratch = Scratch(docs.sparkSession, "surrogates")
     names = [c for c in docs.columns if c.lower() != count.lower()]
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    may = F.col(text).rlike(SIGN)
+    for title in TITLES:
+        may = may | F.col(text).contains(title)
+    has = F.coalesce(may & F.col(text).rlike(ANY), F.lit(False))
     clean = docs.where(~has).select(*(F.col(f"`{c}`") for c in names), F.lit(0).cast("long").alias(count))
     rows = docs.where(has).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), spotting.gaps(F.col(text), ANY).alias("gaps"), spotting.hits(F.col(text), ANY).alias("hits"))
     rows = scratch.table(rows.withColumn("n", F.monotonically_increasing_id()), "rows")
