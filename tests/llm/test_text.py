@@ -271,6 +271,20 @@ def test_fixed_block_in_content_goes_where_the_rest_differs():
     assert wrappers.main_text(pages[0], json.dumps(wrappers.content(w))) == "story 0 Join us"
 
 
+def test_slots_of_copies_alone_take_nothing_from_articles():
+    page = lambda body: f"<html><body><article>{body}</article></body></html>"
+    alone = ["<h1>A</h1><p>one</p><p>two</p><ul><li>item</li></ul><p>last</p>"] * 5 + ["<h1>B</h1><p>old</p><blockquote>said</blockquote>"] * 4
+    pages = [page(x) for x in alone + [f"<h1>T {i}</h1><p>first {i}</p><p>second {i}</p>" for i in range(6)] + [f"<h1>U {i}</h1><p>third {i}</p><h2>Share it</h2>" for i in range(5)]]
+    for order in (pages, pages[::-1], pages[::2] + pages[1::2]):
+        w = None
+        for p in order:
+            x = wrappers.wrapper(wrappers.parse(p))
+            w = wrappers._joined(w, json.loads(json.dumps(x))) if w else x
+        rule = json.dumps(wrappers.content(w))
+        got = [wrappers.main_text(p, rule) for p in pages]
+        assert got == ["A one two item last"] * 5 + ["B old said"] * 4 + [f"T {i} first {i} second {i}" for i in range(6)] + [f"U {i} third {i}" for i in range(5)]
+
+
 def test_pages_query_and_both_ways_to_apply_rules(spark, tiny, monkeypatch):
     want = {tuple(r) for r in queries.op9_main_text(spark, tiny).collect()}
     assert len(want) == spark.read.parquet(f"{tiny}/pages.parquet").count() and all(r[3] == len(r[2]) > 0 for r in want)
