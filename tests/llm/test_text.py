@@ -271,6 +271,25 @@ def test_fixed_block_in_content_goes_where_the_rest_differs():
     assert wrappers.main_text(pages[0], json.dumps(wrappers.content(w))) == "story 0 Join us"
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ('<p>one <svg width="9" viewBox="0 0 1 1"/> two</p><p>three</p>', "one two three"),
+        ("<p>one</p><svg/><p>two</p><svg><path d='M0'/><text>no</text></svg><p>three</p>", "one two three"),
+        ("<p>one</p><svg><svg><text>no</text></svg><text>no</text></svg><p>two</p>", "one two"),
+        ("<p>one</p><svg viewBox='0'><path d='M0'><p>two</p><p>three</p>", "one two three"),
+        ("<p>one <a href='#'><svg><g><path d='M0'></a> two</p><math><mi>x</mi><p>three</p><svg></svg>", "one two three"),
+        ("<svg><title/><style/><g><title>no</g><foreignObject><p>no</p></foreignObject></svg><p>two</p>", "two"),
+        ("<svg><style>a{content:'<p>no</p>'}</style></svg><p>two</p>", "two"),
+        ("<div><video src='x'><source src='y'>no</div><p>two</p><object><p>no</p><object>no</object>no</object><canvas>no</canvas><p>three</p>", "two three"),
+        ("<p>one <audio controls> two</p><p>three</p>", "one three"),
+        ("<p>one</p><script>if (a < b) '<p>no</p>'</script><p>two</p>", "one two"),
+    ],
+)
+def test_media_and_drawings_end_where_they_end(inside, text):
+    assert wrappers.main_text(f"<html><body><article>{inside}</article></body></html>", None) == text
+
+
 def test_slots_of_copies_alone_take_nothing_from_articles():
     page = lambda body: f"<html><body><article>{body}</article></body></html>"
     alone = ["<h1>A</h1><p>one</p><p>two</p><ul><li>item</li></ul><p>last</p>"] * 5 + ["<h1>B</h1><p>old</p><blockquote>said</blockquote>"] * 4
