@@ -26,6 +26,8 @@ from prismill.llm import spotting
 CANDIDATE = r"""(?<=["'])[^\s"']{8,}(?=["'])|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
 #: What is looked at of the text around, in characters; and for words that speak for or against a secret.
 BEFORE, AFTER, NEAR = 64, 32, 28
+#: Characters that every candidate has at least.
+LEAST = 8
 TREES, DEPTH, SEED = 20, 6, 11
 LABELLED = 6000
 
@@ -101,9 +103,13 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     secret = F.col("id") % 2 == 0
     kind = F.pmod(F.xxhash64("h", F.lit(22)), F.lit(len(harmless)))
     words = F.concat(some(9, 3), F.lit(" "), some(10, 2), F.lit(" "))
-    near = F.when(secret, pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ")).when(
+    # A secret that tells itself by its form may stand without a telling word, a name or a word may stand after one.
+    telling = pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "', "GITHUB_TOKEN=", '"private_key_value": "')
+    plain, form = pick(35, 'value = "', "X_VALUE=", "use ", '"id": "', " ", "("), F.pmod(F.xxhash64("h", F.lit(21)), F.lit(len(secrets)))
+    seldom = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(4)) == 0
+    near = F.when(secret & form.between(4, 7) & seldom(36), plain).when(secret, telling).when(
         kind >= 10, pick(32, "commit ", "sha256: ", "checksum ", "md5 ", "version ", "uuid: ", 'etag="', "revision ")
-    ).otherwise(pick(33, " ", " ", ". ", "| ", '"', "see ", "file ", "("))
+    ).when(seldom(37), pick(38, "password: ", "SECRET=", 'token = "', '"client_secret": "', "auth ", "API_KEY=x ", "secret in ")).otherwise(pick(33, " ", " ", ". ", "| ", '"', "see ", "file ", "("))
     after = F.when(near.rlike("\"$"), F.lit('" ')).when(near.rlike("'$"), F.lit("' ")).otherwise(pick(34, " ", ", ", ". ", "\n"))
     return d.select(
         F.when(secret, choose(21, secrets)).otherwise(choose(22, harmless)).alias("value"), F.concat(words, near).alias("before"), F.concat(after, some(11, 2)).alias("after"),
@@ -152,11 +158,22 @@ def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None =
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     d = spotting.once(docs, row, spotting.gaps(F.col(text), CANDIDATE).alias("gaps"), spotting.hits(F.col(text), CANDIDATE).alias("hits"), where.alias("where"))
 
-    def looked_at(h: Column, i: Column) -> Column:
-        before, after = F.right(F.get("gaps", i), F.lit(BEFORE)), F.left(F.get("gaps", i + 1), F.lit(AFTER))
-        return F.struct(h.alias("value"), i.alias("i"), *(c.alias(k) for k, c in features(h, before, after, F.col("where")).items()))
+    # A candidate has LEAST characters, so BEFORE // LEAST pieces of a gap and a candidate reach back as far as is looked.
+    tails = F.zip_with("gaps", "hits", lambda g, h: F.right(F.concat(g, F.coalesce(h, F.lit(""))), F.lit(BEFORE)))
+    heads = F.zip_with("hits", F.slice("gaps", F.lit(2), F.size("hits") + 1), lambda h, g: F.left(F.concat(h, g), F.lit(AFTER)))
+    d = spotting.once(d, F.col("row"), F.col("gaps"), F.col("hits"), F.col("where"), tails.alias("tails"), heads.alias("heads"))
 
-    looks = F.transform("hits", looked_at)
+    def around(h: Column, i: Column) -> Column:
+        reach = F.least(i, F.lit(BEFORE // LEAST))
+        before = F.right(F.concat(F.array_join(F.slice("tails", i - reach + 1, reach), ""), F.right(F.get("gaps", i), F.lit(BEFORE))), F.lit(BEFORE))
+        after = F.left(F.concat(F.left(F.get("gaps", i + 1), F.lit(AFTER)), F.array_join(F.slice("heads", i + 2, F.lit(AFTER // LEAST)), "")), F.lit(AFTER))
+        return F.struct(h.alias("value"), i.alias("i"), before.alias("before"), after.alias("after"))
+
+    def looked_at(s: Column) -> Column:
+        return F.struct(s["value"].alias("value"), s["i"].alias("i"), *(c.alias(k) for k, c in features(s["value"], s["before"], s["after"], F.col("where")).items()))
+
+    d = spotting.once(d, F.col("row"), F.col("gaps"), F.col("hits"), F.col("where"), F.transform("hits", around).alias("around"))
+    looks = F.transform("around", looked_at)
     found = F.transform(looks, lambda s: F.struct(s["value"].alias("value"), s["i"].alias("i"), probability(forest, s).alias("p")))
     return spotting.once(d, F.col("row"), F.col("gaps"), F.col("hits"), found.alias("found"))
 

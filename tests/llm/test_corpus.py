@@ -1,5 +1,6 @@
 """Near-duplicates, repeats, contamination, secrets, surrogates and the pipeline against brute force."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -270,6 +271,20 @@ def test_secret_edges(spark, forest):
     assert [(r.doc_id, r.start, r.n_chars, r.kind) for r in got] == [(None, 20, 40, "hex")] * 2
 
 
+def test_key_names_tell_of_their_values(spark, forest):
+    """Names that are candidates themselves, in env and JSON forms."""
+    value = lambda k: hashlib.sha256(b"v%d" % k).hexdigest()[:40]
+    odd = lambda k: base64.b64encode(hashlib.sha256(b"w%d" % k).digest()).decode()[:40]
+    forms = ["AWS_SECRET_ACCESS_KEY={}", '{{"client_secret": "{}"}}', "export GITHUB_ACCESS_TOKEN={}", '"database_password" : "{}",', "MY_SERVICE_SECRET_KEY={}\nOTHER_VALUE=1"]
+    secrets = [(f, v(k)) for k, f in enumerate(forms) for v in (value, odd)]
+    texts = [f"text before\n{f.format(v)}" for f, v in secrets]
+    both = f'MAIN_SECRET_TOKEN_VALUE={value(8)}\n"client_secret": "{value(9)}"'
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, both])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redacted(docs, forest, path=None).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"text before\n{f.format('[secret]')}" for f, _ in secrets]
+    assert got[len(texts)] == 'MAIN_SECRET_TOKEN_VALUE=[secret]\n"client_secret": "[secret]"'
+
+
 # Surrogates
 
 PEOPLE = [
