@@ -1,7 +1,11 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of letters, digits and signs, and quoted strings. The
-forest looks at a candidate's length, the transitions between its characters,
+Candidates are long runs of letters, digits and signs, quoted strings, values of
+eight or more characters after a name with ":" or "=", and what stands between
+a user's name and "@" in an address. An unquoted value ends at white space, a
+quote or angle bracket, before the next "&name=" and before punctuation at its
+end; one that is a URL or has a name and value of its own is looked at inside.
+The forest looks at a candidate's length, the transitions between its characters,
 how much of it dictionary words cover, the path it comes from and the words
 around it. It is trained from labelled findings, given as a table or made by
 ``labelled_findings``, and then written as one column expression, so a scan is
@@ -22,8 +26,16 @@ from pyspark.sql import functions as F
 
 from prismill.llm import spotting
 
-#: Candidates: quoted strings without spaces, and runs of what keys are made of.
-CANDIDATE = r"""(?<=["'])[^\s"']{8,}(?=["'])|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
+#: An unquoted value's characters: punctuation only where more follows, and signs that part values not before a name.
+_LAST = r"""[,;.:)\]}&?|]{0,8}(?:[\s"'<>]|$)"""
+_VALUE = rf"""(?:[^\s"'<>,;.:)\]}}&?|]|[.:)\]}}](?!{_LAST})|[,;&?|](?!{_LAST}|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=])){{8,}}+"""
+#: Candidates: quoted strings without spaces, passwords before a host, values after a name, and runs of what keys are made of.
+CANDIDATE = (
+    r"""(?<=["'])[^\s"']{8,}(?=["'])"""
+    r"""|(?<=[A-Za-z0-9_.\-]:)(?<!(?i:pass|passwd|password|passphrase|pwd|secret|token|key):)[^\s:@/"'<>]{8,}+(?=@[A-Za-z0-9\[])"""
+    rf"""|(?<=[:=>\s])(?<=[A-Za-z0-9_)\]"'\-][ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}})(?![=:>\s]|//|[A-Za-z][A-Za-z0-9+.\-]{{0,20}}://|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=][^\s"'<>]{{8}}){_VALUE}"""
+    r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
+)
 #: What is looked at of the text around, in characters; and for words that speak for or against a secret.
 BEFORE, AFTER, NEAR = 64, 32, 28
 #: Characters that every candidate has at least.
@@ -68,6 +80,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "secret_word": flag(F.right(before, F.lit(NEAR)).rlike(SECRET_WORDS)),
         "harmless_word": flag(F.right(before, F.lit(NEAR)).rlike(HARMLESS_WORDS)),
         "assigned": flag(before.rlike(r"""[=:]\s*["']?$""")),
+        "userinfo": flag(before.rlike(r"(?i)(://[^\s/@:]*|\b(user|root|admin|\w*login)):$") & after.rlike("^@")),
         "quoted": flag(before.rlike("""["']$""") & after.rlike("""^["']""")),
         "test_path": flag(path.rlike(TEST_PATHS)),
         "config_path": flag(path.rlike(CONFIG_PATHS)),
@@ -79,7 +92,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
 
     Every value follows from its number by a digest, so the table is the same each time.
     """
-    d = spark.range(0, n, 1, 1).withColumn("h", F.sha2(F.concat(F.lit("finding-"), F.col("id").cast("string")), 512))
+    d = spotting.once(spark.range(0, n, 1, 1), F.col("id"), F.sha2(F.concat(F.lit("finding-"), F.col("id").cast("string")), 512).alias("h"))
     h, pick = F.col("h"), lambda k, *options: F.element_at(F.array(*(F.lit(o) for o in options)), F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(options))).cast("int") + 1)
     b64 = F.translate(F.base64(F.unhex(h)), "\r\n", "")
     some = lambda k, size: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: pick_at(k, i)), "")
@@ -89,16 +102,26 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         return F.element_at(F.array(*(F.lit(s) for s in syllables)), F.pmod(F.xxhash64("h", F.lit(k), i), F.lit(len(syllables))).cast("int") + 1)
 
     size = lambda k, *sizes: pick(k, *sizes)
+    digits = lambda k, size: F.lpad(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(10**size)).cast("string"), size, "0")
     secrets = [
         F.substring(h, 1, 32), F.substring(h, 1, 40), F.substring(h, 9, 64), F.upper(F.substring(h, 3, 40)), F.substr(b64, F.lit(1), size(1, 24, 32, 40, 44)),
         F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64, "+/=abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(b64, "+/=", "aZ0"), 1, 36)),
         F.concat(F.lit("sk_live_"), F.substring(F.translate(b64, "+/=", "aZ0"), 5, 24)), F.concat(some(7, 2), F.substring(h, 1, 4), F.lit("!"), F.upper(some(8, 1))),
+        F.concat(F.initcap(some(7, 2)), digits(51, 2), some(8, 2), digits(52, 1)), F.concat(F.initcap(some(7, 1)), digits(51, 1), some(8, 2), pick(53, "", "!", "@", "$", ".", "#"), some(12, 1), digits(52, 3)),
     ]
     harmless = [
         some(1, 5), some(2, 7), F.concat(some(3, 2), F.lit("_"), some(4, 2), F.lit("_"), some(5, 3)), F.concat(some(3, 2), F.initcap(some(4, 2)), F.initcap(some(5, 2))), F.concat(F.lit("/usr/"), some(6, 2), F.lit("/"), some(7, 3)),
         F.rpad(F.lit(""), 24, "x"), F.rpad(F.lit(""), 20, "0"), F.concat(some(3, 3), F.lit("-"), some(4, 3), F.lit("-"), some(5, 2)), F.lpad(F.translate(F.substring(h, 1, 16), "abcdef", "012345"), 16, "7"),
         F.upper(some(1, 6)), F.substring(h, 1, 40), F.substring(h, 1, 32), F.regexp_replace(F.substring(h, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"),
     ]
+    # What stands after names and ":" or "=" in prose, code and addresses, and such names themselves.
+    key_name = F.concat(F.upper(F.concat(some(14, 2), F.lit("_"), some(15, 2))), pick(58, "_TOKEN=", "_ACCESS_TOKEN=", "_SECRET_KEY=", "_SECRET=", "_KEY=", "_VALUE=", "_NAME="))
+    ordinary = [
+        key_name, key_name, key_name, F.lower(key_name),
+        some(1, 4), F.initcap(some(2, 4)), F.concat(some(3, 2), F.lit("_"), some(4, 2)), F.concat(some(3, 2), F.lit("."), some(4, 2), F.lit("("), some(5, 1)), F.concat(some(1, 3), F.lit("@"), some(2, 2), F.lit(".org")),
+        F.concat(F.lit("20"), digits(54, 2), F.lit("-0"), digits(55, 1), F.lit("-1"), digits(56, 1)), F.concat(digits(54, 3), F.lit("."), digits(55, 3), F.lit(".1"), digits(56, 2)), F.concat(F.lit("/"), some(6, 2), F.lit("/"), some(7, 2)), digits(57, 9),
+        F.concat(some(3, 2), F.lit("-"), some(4, 3)), F.concat(some(3, 2), F.lit("/"), some(4, 3)), F.concat(F.initcap(some(3, 2)), F.initcap(some(4, 2))),
+    ]
     choose = lambda k, options: F.element_at(F.array(*options), F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(options))).cast("int") + 1)
     secret = F.col("id") % 2 == 0
     kind = F.pmod(F.xxhash64("h", F.lit(22)), F.lit(len(harmless)))
@@ -107,12 +130,19 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     telling = pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "', "GITHUB_TOKEN=", '"private_key_value": "')
     plain, form = pick(35, 'value = "', "X_VALUE=", "use ", '"id": "', " ", "("), F.pmod(F.xxhash64("h", F.lit(21)), F.lit(len(secrets)))
     seldom = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(4)) == 0
-    near = F.when(secret & form.between(4, 7) & seldom(36), plain).when(secret, telling).when(
+    named, address = ~secret & seldom(61), secret & (form >= 8) & seldom(62)
+    contact = named & seldom(63)
+    near = F.when(address, pick(64, "postgres://user:", "https://admin:", "root:", "user:", "mysql://app:")).when(contact, pick(65, "mailto:", "contact:", "mail:", "write to:")).when(
+        named, pick(66, "note: ", "name: ", "type=", "see also: ", "path = ", "date: ", "n = ", "self.value = ", "return: ", "password: ", "token = ", "secret: ", "id=", "export ", "export ", "\n", " ")
+    ).when(secret & form.between(4, 7) & seldom(36), plain).when(secret, telling).when(
         kind >= 10, pick(32, "commit ", "sha256: ", "checksum ", "md5 ", "version ", "uuid: ", 'etag="', "revision ")
     ).when(seldom(37), pick(38, "password: ", "SECRET=", 'token = "', '"client_secret": "', "auth ", "API_KEY=x ", "secret in ")).otherwise(pick(33, " ", " ", ". ", "| ", '"', "see ", "file ", "("))
-    after = F.when(near.rlike("\"$"), F.lit('" ')).when(near.rlike("'$"), F.lit("' ")).otherwise(pick(34, " ", ", ", ". ", "\n"))
-    return d.select(
-        F.when(secret, choose(21, secrets)).otherwise(choose(22, harmless)).alias("value"), F.concat(words, near).alias("before"), F.concat(after, some(11, 2)).alias("after"),
+    value = F.when(secret, choose(21, secrets)).when(contact, F.concat(some(1, 2), pick(68, "", ".", "_"), some(2, 2))).when(named, choose(69, ordinary)).otherwise(choose(22, harmless))
+    d = spotting.once(d, F.col("id"), F.col("h"), value.alias("value"), near.alias("near"), (address | contact).alias("mailed"))
+    near = F.col("near")
+    after = F.when(F.col("mailed"), F.concat(F.lit("@"), some(13, 2), pick(67, "/db ", ".org ", ":80/ "))).when(near.rlike("\"$"), F.lit('" ')).when(near.rlike("'$"), F.lit("' ")).otherwise(pick(34, " ", ", ", ". ", "\n"))
+    return spotting.once(
+        d, F.col("value"), F.concat(words, near).alias("before"), F.concat(after, some(11, 2)).alias("after"),
         F.when(secret, pick(41, "app/.env", "deploy/config.yaml", "src/main.py", "src1", None)).otherwise(pick(42, "src/main.py", "tests/test_app.py", "docs/readme.md", "src1", None)).cast("string").alias("path"), secret.cast("double").alias("label"),
     )
 

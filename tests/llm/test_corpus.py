@@ -285,6 +285,16 @@ def test_key_names_tell_of_their_values(spark, forest):
     assert got[len(texts)] == 'MAIN_SECRET_TOKEN_VALUE=[secret]\n"client_secret": "[secret]"'
 
 
+def test_short_and_special_values_after_names(spark, forest):
+    secrets = ["password: {Tr0ub4dor9}", "PASSWORD=hunter{}", "postgres://user:{pass1234}@host.org/db", "user:{pass1234}@host", "db_password = {Sw0rd!fish@29$x}, then", "url=https://app:{k3lmar77no}@h/x?y=z&token={ab3Kd9fQ}&page=2", "MY_SECRET={Ko4.tan$ti92}."]
+    secrets[1] = "PASSWORD={hunter2abc1}"
+    clean = ["Note: something follows", "mailto:someone.else@host.org", "see https://example.org/a/page", "password: required", "type=container", "date: 2024-10-12"]
+    texts = [re.sub(r"[{}]", "", t) for t in secrets] + clean
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redacted(docs, forest, path=None).collect()}
+    assert [got[i] for i in range(len(texts))] == [re.sub(r"\{[^}]*\}", "[secret]", t) for t in secrets] + clean
+
+
 # Surrogates
 
 PEOPLE = [
