@@ -1,8 +1,9 @@
 """Connected components of a link table, by rounds of two star contractions.
 
 Each round joins a node's links with the least neighbour, found by an
-aggregate that is combined before its shuffle, so a node with very many links
-is a skewed join side that adaptive execution can split, and is never gathered
+aggregate that is combined before its shuffle and written before the join. So
+the join has nothing but two shuffles below it, and a node with very many
+links is a skewed side that adaptive execution can split: it is never gathered
 into one task. Rounds are written to the shared folder and end when the links
 no longer change.
 """
@@ -32,8 +33,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

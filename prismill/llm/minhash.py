@@ -31,6 +31,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ BUCKETS = BANDS * ROWS
 ROUNDS = 2
 #: Standard deviations below the threshold down to which an estimate still leads to verification.
 SIGMAS = 5.0
+#: Sizes are told apart up to two to this power.
+LARGEST = 41
 
 _SEQ = np.random.default_rng(7).integers(0, BUCKETS, (4096, BUCKETS))
 
@@ -61,7 +64,7 @@ def shingle_set(w: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of registers for each set, none of them empty."""
+    """One row of registers for each set, none of them empty; a row depends on its own set and on no other."""
     out = np.full((len(sets), BUCKETS), -1, np.int32)
     for row, u in zip(out, sets, strict=True):
         which = ((u >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
@@ -72,20 +75,16 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         bits = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
         row[which[first].astype(np.int64)] = zeros.astype(np.int32) << MANTISSA | bits.astype(np.int32)
     full = out.copy()
-    for step in range(len(_SEQ) + 1):
+    lone = (out >= 0).sum(1) <= 1  # nothing to choose from: an empty set, or one bucket
+    full[lone] = np.maximum(out[lone].max(1, keepdims=True, initial=-1), 0)
+    for sources in _SEQ:
         r, c = np.nonzero(full < 0)
         if not len(r):
             break
-        if step == len(_SEQ):  # a set of very few hashes: the nearest filled bucket to the right
-            for i in np.unique(r):
-                filled = np.flatnonzero(full[i] >= 0)
-                empty = np.flatnonzero(full[i] < 0)
-                full[i, empty] = full[i, filled[np.searchsorted(filled, empty) % len(filled)]] if len(filled) else 0
-            break
-        if step == 0 and (few := [i for i in np.unique(r) if len(sets[i]) <= 1]):
-            full[few] = out[few].max(1, keepdims=True)
-            continue
-        full[r, c] = out[r, _SEQ[step, c]]
+        full[r, c] = out[r, sources[c]]
+    for i in np.unique(np.nonzero(full < 0)[0]):  # no source named a filled bucket: the next one to the right
+        filled, empty = np.flatnonzero(out[i] >= 0), np.flatnonzero(full[i] < 0)
+        full[i, empty] = out[i, filled[np.searchsorted(filled, empty) % len(filled)]]
     return full.astype(np.uint16)
 
 
@@ -96,9 +95,26 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(((x + np.uint64(1)) * factors).sum(2, dtype=np.uint64) + factors[:, 0])
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from rows of registers, less the share that collides by chance."""
-    chance = 1 / 3 / 2**MANTISSA
+@functools.cache
+def _chances() -> np.ndarray:
+    """Chance that registers of two sets without a shared hash are equal, by the logarithms (base 2) of the sets' sizes.
+
+    A filled bucket of a set of n hashes holds a Poisson number of them, one at least, of mean
+    n / BUCKETS; the least falls into a register's interval with the probability summed here.
+    """
+    mean = (2.0 ** np.arange(LARGEST) / BUCKETS)[:, None]
+    out = np.zeros((LARGEST, LARGEST))
+    for zeros in range(63):
+        edges = 2.0 ** -(zeros + 1) * (1 + np.arange((1 << MANTISSA) + 1) / (1 << MANTISSA))
+        p = -np.diff(np.exp(-mean * edges)) / -np.expm1(-mean)
+        out += p @ p.T
+    return out
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarity from rows of registers of sets of n and m hashes, less the share that collides by chance."""
+    log = lambda x: np.clip(np.rint(np.log2(np.maximum(x, 1))), 0, LARGEST - 1).astype(np.int64)
+    chance = _chances()[log(n), log(m)]
     return np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1)
 
 
@@ -135,7 +151,7 @@ def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
         n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
         sigma = np.sqrt(threshold * (1 - threshold) / np.minimum(BUCKETS, np.minimum(n, m)))
-        ok = estimate(a, b) >= threshold - SIGMAS * sigma
+        ok = estimate(a, b, n, m) >= threshold - SIGMAS * sigma
         yield batch.filter(pa.array(ok)).select(["a", "b"])
 
 
@@ -186,7 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     band = nodes.select("doc", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
-    groups = scratch.table(band.join(shared, "band"), "groups")
+    groups = scratch.table(band.join(scratch.table(shared, "shared"), "band"), "groups")
     some = groups.groupBy("doc").agg(F.sum("size").alias("meets"))
     node = scratch.table(nodes.join(some, "doc").groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "k1", "k2", "regs", "meets"))), "nodes")
     full = d.join(node.select("doc", "n", "k1", "k2"), "doc").mapInArrow(lambda b: _sets(b, shingle, lower), f"doc {kind}, n bigint, k1 bigint, k2 bigint, own bigint, hashes binary")
@@ -217,10 +233,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     def mixed(label: DataFrame, open_groups: DataFrame) -> DataFrame:
         """Members of groups that hold several components, with a pivot of each: of the smallest components' nodes the one that meets most."""
-        g = open_groups.join(label, "doc")
+        g = scratch.table(open_groups.join(label, "doc"), "placed")
         order = F.struct("comp_size", -F.col("meets"), F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))
         top = g.groupBy("band").agg(F.min(order).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return scratch.table(g.join(top.select("band", "top.pivot", "top.pivot_comp"), "band").select("band", "doc", "comp", "pivot", "pivot_comp"), "mixed")
+        top = scratch.table(top.select("band", "top.pivot", "top.pivot_comp"), "top")
+        return scratch.table(g.join(top, "band").select("band", "doc", "comp", "pivot", "pivot_comp"), "mixed")
 
     links, label, left, first = None, labelled(None), groups.select("band", "doc"), None
     for _ in range(ROUNDS):
@@ -234,17 +251,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         left = m.select("band", "doc")
 
     comps = label.select("doc", "comp")
-    rest = first.join(comps, "doc")
+    rest = scratch.table(first.join(comps, "doc"), "rest")
     several = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    pairs = rest.join(several, "band").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct().join(side(node, "a", na="n"), "a")
+    pairs = rest.join(scratch.table(several, "several"), "band").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct().join(side(node, "a", na="n"), "a")
     pairs = scratch.table(pairs, "open")
-    pairs = pairs.join(pairs.groupBy("b").agg(F.min("na").alias("low")), "b")
+    pairs = pairs.join(scratch.table(pairs.groupBy("b").agg(F.min("na").alias("low")), "low"), "b")
     pairs = pairs.join(side(sets, "a", ha="hashes"), "a").join(side(sets, "b", hb="hashes"), "b")
     diff = pairs.mapInArrow(lambda b: _differences(b, percent), f"doc {kind}, pivot {kind}, n bigint, np bigint, lack bigint, diff array<bigint>, look array<bigint>")
     diff = scratch.table(diff.join(comps, "doc"), "differences")
     index = diff.select("pivot", "doc", "comp", F.explode("look").alias("hash"))
     several = index.groupBy("pivot", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pivot", "hash")
-    index = index.select("pivot", "doc", "hash").join(several, ["pivot", "hash"]).join(diff.drop("look"), ["pivot", "doc"])
+    index = index.select("pivot", "doc", "hash").join(scratch.table(several, "several"), ["pivot", "hash"]).join(diff.drop("look"), ["pivot", "doc"])
     index = scratch.table(index, "shared")
     x, y = (index.select("pivot", "hash", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n", "np", "lack", "diff"))) for s in "xy")
     meet = F.col("np_x") - F.col("lack_x") - F.col("lack_y") + F.size(F.array_intersect("diff_x", "diff_y"))

@@ -101,9 +101,48 @@ def test_estimate_is_near_the_truth():
         k = int(4000 * 2 * share / (1 + share))
         a, b = (np.unique(np.concatenate([both[:k], own[i][: 4000 - k]])) for i in (0, 1))
         r = minhash.registers([a, b])
-        assert abs(minhash.estimate(r[:1], r[1:])[0] - share) < 0.14
-    few = minhash.registers([both[:1], both[:2], np.unique(both[:3])])
-    assert few.shape == (3, minhash.BUCKETS)
+        assert abs(minhash.estimate(r[:1], r[1:], np.array([4000]), np.array([4000]))[0] - share) < 0.14
+
+
+def test_chance_of_equal_registers_follows_both_sizes():
+    rng = np.random.default_rng(8)
+    for n, m in ((2000, 2000), (200, 6000), (30, 30)):
+        sets = [np.unique(rng.integers(0, 2**64, n if k % 2 else m, np.uint64)) for k in range(1000)]
+        r = minhash.registers(sets)
+        seen = (r[::2] == r[1::2]).mean()
+        stated = minhash._chances()[round(np.log2(n)), round(np.log2(m))]
+        assert 0.5 * stated < seen < 2 * stated, (n, m, seen, stated)
+
+
+def test_registers_of_a_set_do_not_depend_on_its_batch():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (0, 1, 2, 3, 7, 58, 150, 4000) for _ in range(12)]
+    alone = np.concatenate([minhash.registers([s]) for s in sets])
+    assert np.array_equal(minhash.registers(sets), alone) and np.array_equal(minhash.registers(sets[::-1])[::-1], alone)
+    assert np.array_equal(minhash.registers(sets[30:]), alone[30:]) and minhash.registers([]).shape == (0, minhash.BUCKETS)
+
+
+def test_bands_find_links_of_small_and_large_sets():
+    """Candidates against all true links, for set sizes at which links differ by one hash or by many."""
+    rng = np.random.default_rng(11)
+    for n, apart in ((6, 1), (12, 2), (58, 9), (300, 48), (3000, 486)):
+        sets = []
+        for _ in range(300):
+            u = rng.integers(0, 2**64, n + apart, np.uint64)
+            sets += [np.unique(u[:n]), np.unique(u[apart:] if n > 12 else u)]
+        keys = minhash.band_keys(minhash.registers(sets))
+        near = [100 * len(np.intersect1d(a, b)) >= 72 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+        assert all(near) and (keys[::2] == keys[1::2]).any(1).mean() > 0.99
+
+
+def test_links_between_files_with_short_texts_among_them(spark, tmp_path):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(60)]
+    near = [w[:20] + ["x"] + w[21:70] + ["y"] + w[71:130] + ["z"] + w[131:] for w in base]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(base)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(100 + i, " ".join(w)) for i, w in enumerate(near)] + [(999, "one")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert all(got[100 + i] == i for i in range(60)) and got[999] == 999
 
 
 def test_components_of_chains_rings_and_stars(spark):
