@@ -12,7 +12,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 

@@ -17,6 +17,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, tiny):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = relational.scan_pushdown(spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "LessThan(l_shipdate" in plan
     read = plan[plan.rindex("ReadSchema") :]
