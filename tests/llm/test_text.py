@@ -278,7 +278,9 @@ def test_fixed_block_in_content_goes_where_the_rest_differs():
         ("<p>one</p><svg/><p>two</p><svg><path d='M0'/><text>no</text></svg><p>three</p>", "one two three"),
         ("<p>one</p><svg><svg><text>no</text></svg><text>no</text></svg><p>two</p>", "one two"),
         ("<p>one</p><svg viewBox='0'><path d='M0'><p>two</p><p>three</p>", "one two three"),
-        ("<p>one <a href='#'><svg><g><path d='M0'></a> two</p><math><mi>x</mi><p>three</p><svg></svg>", "one two three"),
+        ("<p>one <a href='#'><svg><g><path d='M0'></a> two</p><math><mi>x</mi><p>three</p><svg></svg>", "one two x three"),
+        ("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so a=1 holds"),
+        ("<p class=notice-board>first</p><p class='search-tip'>kept words</p><p>t</p><div class='notice'>no</div><div class='comment-list'>no</div><div id=ad-container>no</div>", "first kept words t"),
         ("<svg><title/><style/><g><title>no</g><foreignObject><p>no</p></foreignObject></svg><p>two</p>", "two"),
         ("<svg><style>a{content:'<p>no</p>'}</style></svg><p>two</p>", "two"),
         ("<div><video src='x'><source src='y'>no</div><p>two</p><object><p>no</p><object>no</object>no</object><canvas>no</canvas><p>three</p>", "two three"),
@@ -290,6 +292,42 @@ def test_media_and_drawings_end_where_they_end(inside, text):
     assert wrappers.main_text(f"<html><body><article>{inside}</article></body></html>", None) == text
 
 
+def merged(pages):
+    w = None
+    for p in pages:
+        x = wrappers.wrapper(wrappers.parse(p))
+        w = wrappers._joined(w, json.loads(json.dumps(x))) if w else x
+    return w
+
+
+def test_groups_of_any_size_repeat():
+    page = "<article>" + "<h3>a</h3><p>b</p><ul><li>c</ul><pre>d</pre><dl><dd>e</dl><ol><li>f</ol>" * 3 + "</article>"
+    assert "(h3(#) p(#) ul(li(#)) pre(#) dl(dd(#)) ol(li(#)))+" in wrappers.pattern(wrappers.wrapper(wrappers.parse(page))).replace("=", "#")
+    twice = [["h3", "", "p"][i % 3] or "ul" for i in range(9)]
+    assert wrappers._shortest(twice, 1) == 3 and wrappers._shortest(list("abcd"), 1) == 0 and wrappers._shortest(list("abacabac"), 1) == 4
+
+
+def test_the_wrapper_finds_the_content_of_hosts_without_article():
+    """The longest text of a page is the same on all pages: only the host tells that it is template."""
+    legal, about = "These lines stand on every page and are longer than what it says. " * 4, "Who writes here, and why, at some length. " * 3
+    story = lambda i: " ".join(f"word{i}x{k}" for k in range(12 + i))
+    page = lambda i: f"<html><body><div class=a><p>{about}</p></div><div class=b><h1>The news</h1><p>{story(i)}</p><p>Read more each day.</p></div><div class=c><p>{legal}</p></div></body></html>"
+    pages = [page(i) for i in range(8)]
+    rule = json.dumps(wrappers.content(merged(pages)))
+    want = [f"The news {story(i)}" for i in range(8)]
+    with_rule = [wrappers.main_text(p, rule) for p in pages]
+    assert [t.replace(" Read more each day.", "") for t in with_rule] == want
+    assert all(wrappers.main_text(p, None) != t for p, t in zip(pages, with_rule, strict=True))
+
+
+def test_the_wrapper_chooses_among_articles():
+    page = lambda i: f"<body><article class='teaser'><p>Try it now, as everybody does, it is {'very ' * 30} good</p></article><article><h1>T{i}</h1><p>story {i} goes on</p></article></body>"
+    pages = [page(i) for i in range(6)]
+    rule = json.dumps(wrappers.content(merged(pages)))
+    assert [wrappers.main_text(p, rule) for p in pages] == [f"T{i} story {i} goes on" for i in range(6)]
+    assert wrappers.main_text("<body><article class=related><p>another long text of a page</p></article><article><p>this</p></article></body>", None) == "this"
+
+
 def test_slots_of_copies_alone_take_nothing_from_articles():
     page = lambda body: f"<html><body><article>{body}</article></body></html>"
     alone = ["<h1>A</h1><p>one</p><p>two</p><ul><li>item</li></ul><p>last</p>"] * 5 + ["<h1>B</h1><p>old</p><blockquote>said</blockquote>"] * 4
