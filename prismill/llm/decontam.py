@@ -1,16 +1,20 @@
 """Exact benchmark contamination from a distributed positional inverted index.
 
 A window is ``size`` consecutive words of an item (all words of a shorter
-one). The index keeps postings of chosen terms only: the rarest term of each
-window, by its count over the whole corpus. A posting holds the term, the row,
-the position and the words around it, so the offset-adjusted lists of the
-window's other terms are intersected right there, without a second look at the
-text. Everything is DataFrame functions.
-
-Terms are sent to the scan in blocks of ``BLOCK_TERMS``; each block is one pass
-over the texts and its windows are broadcast, which bounds both by a parameter
-and not by the size of the benchmark. Postings go through no shuffle; only
-matches do, summed by row.
+one). The index has a posting (term, row, at) for every place in the corpus
+where a word of the benchmark stands; it is written once, from one reading of
+the texts, and each text has one more posting, of the empty term, that carries
+its key and number of words. A window's terms are ranked by the length of
+their lists. The list of the rarest, less its offset in the window, gives the
+places where the window may start; they are intersected with the list of the
+next one and, as few are left then, with all others at once. Each intersection
+is an equi-join on (term, row, at), whose keys are spread evenly however
+common a term is. Where each word may stand up to ``slop`` places off, the
+same joins give proximity matches.
+
+What is broadcast is counted first: the benchmark's terms up to
+``BROADCAST_BYTES``, rows with places left up to ``BROADCAST_ROWS``. Beyond
+that the joins are shuffled. Everything is DataFrame functions.
 
 Defined results
 - null or empty text, or one without words: n_words 0, nothing hit
@@ -27,13 +31,16 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismill.llm import spotting
 from prismill.llm.store import Scratch
 
 WINDOW = 13
 #: Fixed: the words of a text after A-Z have been lower-cased.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms looked for in one pass; a window has one, so this also bounds the windows' distinct terms of a broadcast.
-BLOCK_TERMS = 4000
+#: Terms of so many bytes in all are sent to every executor.
+BROADCAST_BYTES = 16 << 20
+#: The same for numbers of rows.
+BROADCAST_ROWS = 500_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,94 +52,74 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows(items: DataFrame, size: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows: phrase (its words), items (ids as sorted strings)."""
+def windows(items: DataFrame, scratch: Scratch, size: int = WINDOW, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (window, phrase), and which items have them (window, item as string)."""
     t = items.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - size, F.lit(0))
-    return (
-        t.select("item", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("w", i + 1, size))).alias("phrase"))
-        .groupBy("phrase")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-
-
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """How often each of the terms occurs in all texts (0 where it never does)."""
-    found = docs.select(F.explode(words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def anchored(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """Each phrase with its rarest term over the corpus and that term's offset; phrases with a term that never occurs go."""
-    terms = phrases.select(F.posexplode("phrase").alias("offset", "term"), "phrase", "items")
-    counts = term_counts(docs, terms.select("term").distinct(), text)
-    best = F.min(F.struct("n", "offset", "term")).alias("best")
-    return terms.join(counts, "term").groupBy("phrase").agg(best, F.first("items").alias("items")).where("best.n > 0").select("phrase", "items", "best.term", "best.offset")
-
-
-def postings(docs: DataFrame, terms: list[str], reach: int, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per text: the kept columns, n_words, and found: the postings (at, term, before, around) of these terms.
-
-    around holds the words from ``reach`` before the position to ``reach`` after it; before is how many of them precede it.
+    found = t.select("item", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("w", i + 1, size))).alias("phrase")).distinct()
+    found = scratch.table(found, "phrases")
+    numbered = scratch.table(found.select("phrase").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    return numbered, scratch.table(found.where("item IS NOT NULL").join(numbered, "phrase").select("window", "item"), "window_items")
+
+
+def index(docs: DataFrame, terms: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings (term, row, at) of these terms in all texts; and of the empty term at -1, with the row's key and n_words."""
+    terms = scratch.table(terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))), "terms")
+    size = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0]
+    d = spotting.once(docs, F.col(key).alias("key"), F.concat(F.array(F.lit("")), words(F.col(text))).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    n = F.size("w") - 1
+    d = d.select("row", "key", n.alias("n_words"), F.posexplode("w").alias("at", "term")).join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "term")
+    own = F.col("at") == 0
+    d = d.select("term", "row", (F.col("at") - 1).alias("at"), F.when(own, F.col("key")).alias("key"), F.when(own, F.col("n_words")).alias("n_words"))
+    return scratch.table(d, "index")
+
+
+def ranked(postings: DataFrame, phrases: DataFrame, scratch: Scratch) -> DataFrame:
+    """The terms of each window from the shortest list to the longest: (window, size, rank, term, offset). A window with a term that stands nowhere goes."""
+    counts = scratch.table(postings.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    terms = phrases.select("window", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")).join(counts, "term")
+    order = F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("terms")
+    whole = terms.groupBy("window", "size").agg(order).where(F.size("terms") == F.col("size"))
+    return scratch.table(whole.select("window", "size", F.posexplode("terms").alias("rank", "t")).select("window", "size", "rank", "t.term", "t.offset"), "ranked")
+
+
+def matches(postings: DataFrame, terms: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
+    """Where windows stand: (window, row, start, size).
+
+    With slop 0 these are exact phrases. Otherwise every word but the rarest may
+    stand up to so many places from where the rarest one says; start is that of the phrase.
     """
-    w = docs.select(*keep, words(F.col(text)).alias("w"))
-    spots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("term"))), lambda s: s["term"].isin(terms))
-
-    def around(s: Column) -> Column:
-        before = F.least(s["at"], F.lit(reach))
-        return F.struct(s["at"].alias("at"), s["term"].alias("term"), before.alias("before"), F.slice("w", s["at"] - before + 1, before + reach + 1).alias("around"))
-
-    return w.select(*keep, F.size("w").alias("n_words"), F.transform(spots, around).alias("found"))
-
-
-def phrase_matches(index: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """Exact occurrences (key, start, end, items) of anchored phrases, from postings of one block of terms."""
-    hits = index.where(F.size("found") > 0).select(key, F.explode("found").alias("p")).select(key, "p.*")
-    first = F.col("before") - F.col("offset") + 1
-    same = (first >= 1) & (F.slice("around", F.greatest(first, F.lit(1)), F.size("phrase")) == F.col("phrase"))
+    first = terms.where("rank = 0").select("window", "size", "term", "offset")
     start = F.col("at") - F.col("offset")
-    return hits.join(F.broadcast(phrases), "term").where(same).select(key, start.alias("start"), (start + F.size("phrase")).alias("end"), "items")
-
-
-def proximity_matches(index: DataFrame, phrases: DataFrame, key: str, slop: int) -> DataFrame:
-    """Occurrences (key, at, items) where every word is at most ``slop`` places from where the phrase has it, measured from its rarest term.
-
-    The index needs a reach of the phrase's length plus slop.
-    """
-    hits = index.where(F.size("found") > 0).select(key, F.explode("found").alias("p")).select(key, "p.*")
-
-    def near(word: Column, i: Column) -> Column:
-        low = F.col("before") + i - F.col("offset") - slop
-        first = F.greatest(low, F.lit(0))
-        width = F.greatest(low + 2 * slop + 1 - first, F.lit(0))
-        return F.struct(F.array_contains(F.slice("around", first + 1, width), word).alias("ok"))
-
-    close = F.forall(F.transform("phrase", near), lambda s: s["ok"])
-    return hits.join(F.broadcast(phrases), "term").where(close).select(key, "at", "items")
+    left = postings.join(first, "term").select("window", "size", "row", start.alias("start"))
+    left = scratch.table(left.where("start >= 0") if not slop else left, "places")
+    for ranks, above in (("rank = 1", 1), ("rank > 1", 2)):
+        need = left.join(terms.where(ranks).select("window", "rank", "term", "offset"), "window")
+        at = F.col("start") + F.col("offset")
+        need = need.withColumn("at", F.explode(F.sequence(at - slop, at + slop)) if slop else at)
+        rows = scratch.table(left.select("row").distinct(), "rows")
+        some = postings.select("term", "row", "at").join(terms.where(ranks).select("term").distinct(), "term", "left_semi")
+        if rows.count() <= BROADCAST_ROWS:
+            some = some.join(F.broadcast(rows), "row", "left_semi")
+        there = need.join(some, ["term", "row", "at"]).groupBy("window", "size", "row", "start").agg(F.count_distinct("rank").alias("n"))
+        whole = there.where(F.col("n") == (F.lit(1) if above == 1 else F.col("size") - above)).select("window", "size", "row", "start")
+        left = scratch.table(left.where(F.col("size") <= above).unionByName(whole), "places")
+    return left
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of docs: key, n_words, n_hit (words inside an occurrence of a window) and items (sorted ids)."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    phrases = scratch.table(anchored(docs, windows(items, size, item, item_text)), "phrases")
-    terms = phrases.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(1 + phrases.select("term").distinct().count() // BLOCK_TERMS)))
-    blocks = max(1, (terms.agg(F.max("block")).first()[0] or 0) + 1)
-    base, matches = None, None
-    for b in range(blocks):
-        # A block's terms are at most a few times BLOCK_TERMS, so they fit a plan and the driver.
-        some = sorted(r.term for r in terms.where(F.col("block") == b).select("term").toLocalIterator())
-        own = phrases.join(F.broadcast(terms.where(F.col("block") == b).select("term")), "term", "left_semi")
-        rows = postings(docs, some, size - 1, keep=("key",)).withColumn("row", F.monotonically_increasing_id())
-        index = scratch.table(rows, "index")
-        found = phrase_matches(index, own, "row")
-        base = base if base is not None else index.select("row", "key", "n_words")
-        matches = found if matches is None else matches.unionByName(found)
-    spans = matches.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    phrases, owners = windows(items, scratch, size, item, item_text)
+    postings = index(docs, phrases.select(F.explode("phrase").alias("term")).distinct(), scratch, key, text)
+    found = matches(postings, ranked(postings, phrases, scratch), scratch)
+    spans = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     add = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto"))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    covered = F.aggregate("spans", none, add, lambda acc: acc["n"])
-    return base.join(spans.select("row", covered.alias("n_hit"), "items"), "row", "left").select(
+    covered = spans.select("row", F.aggregate("spans", none, add, lambda acc: acc["n"]).alias("n_hit"))
+    named = found.select("row", "window").distinct().join(owners, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    base = postings.where("term = ''").select("row", "key", "n_words")
+    return base.join(covered.join(named, "row", "left"), "row", "left").select(
         F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 

@@ -224,7 +224,7 @@ def test_repeat_edges(spark):
 # Contamination
 
 
-def test_contamination_against_brute_force(spark):
+def test_contamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, " ".join(rng.choice("abcdefg") + str(rng.randrange(3)) for _ in range(rng.choice([0, 1, 4, 13, 14, 30])))) for i in range(25)] + [(99, None), (None, "null item words here"), (3, "A1 B2")]
     docs = []
@@ -251,10 +251,10 @@ def test_contamination_against_brute_force(spark):
                     found |= wins[tuple(w[p : p + n])]
         want.append((str(i), len(w), len(hit), sorted(found)))
     made = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"w": F.lit(1), "row": F.lit(2), "found": F.lit(3)})
-    for terms in (4000, 5):
-        old, decontam.BLOCK_TERMS = decontam.BLOCK_TERMS, terms
-        got = decontam.contamination(made, spark.createDataFrame(items, "item_id long, text string")).collect()
-        decontam.BLOCK_TERMS = old
+    for size, parts in ((decontam.BROADCAST_ROWS, 1), (-1, 7)):  # sent to every task or shuffled, from one file or many
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", size)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+        got = decontam.contamination(made.repartition(parts), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted(want)
 
 
@@ -266,14 +266,31 @@ def test_contamination_edges(spark):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha beta gamma"), (3, "gamma beta alpha"), (4, "alpha q q q q beta gamma")], "doc_id long, text string")
-    phrases = decontam.anchored(docs, decontam.windows(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")))
-    terms = [r.term for r in phrases.select("term").collect()]
-    index = decontam.postings(docs, terms, 8, keep=("doc_id",))
-    found = lambda slop: sorted(r.doc_id for r in decontam.proximity_matches(index, phrases, "doc_id", slop).select("doc_id").distinct().collect())
-    assert found(0) == [2] and found(1)[:1] == [1] or found(2)[:2] == [1, 2]
-    assert [r.doc_id for r in decontam.phrase_matches(index, phrases, "doc_id").collect()] == [2]
+def test_phrases_and_proximity_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, [rng.choice("abcde") for _ in range(rng.randrange(25))]) for i in range(60)]
+    phrases = [tuple(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 2, 3, 3, 4, 4, 5)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(phrases)], "item_id long, text string")
+    windows, owners = decontam.windows(bench, scratch)
+    index = decontam.index(d, windows.select(F.explode("phrase").alias("term")).distinct(), scratch)
+    ranks = decontam.ranked(index, windows, scratch)
+    named = index.where("term = ''").select("row", "key")
+    anchor = {r.window: r.offset for r in ranks.where("rank = 0").collect()}
+    words = {r.window: r.phrase for r in windows.collect()}
+    for slop in (0, 1, 3):
+        got = decontam.matches(index, ranks, scratch, slop).join(named, "row").select("window", "key", "start").collect()
+        want = set()
+        for w, off in anchor.items():
+            p = words[w]
+            for i, t in docs:
+                for at in (k for k, x in enumerate(t) if x == p[off]):
+                    start = at - off
+                    near = lambda j: p[j] in t[max(0, start + j - slop) : max(0, start + j + slop + 1)]  # noqa: B023, E731
+                    if all(j == off or near(j) for j in range(len(p))) and (slop or start >= 0):
+                        want.add((w, i, start))
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and want
 
 
 # Secrets
