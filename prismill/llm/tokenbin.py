@@ -14,8 +14,9 @@ its index. Layout, all little-endian:
 The hash is built in levels: a key's hash names a bit, bits named once stay,
 keys whose bits clash go to the next level. A key's slot is the number of set
 bits before its own. A stored fingerprint tells foreign keys apart. The
-manifest, a small table, has the key range of each shard, so a key leads to a
-shard by its range and to the row by two or three hashes.
+manifest, a table of a row for each shard, has the shards' key ranges in pages
+of ``PAGE`` shards: a key leads to a page by bisection of the pages' ranges, to
+its shard within the page, and to the row by two or three hashes.
 
 Writing is safe against lost tasks: an attempt writes files of its own name
 and the manifest has those of the attempt that counted.
@@ -23,6 +24,7 @@ and the manifest has those of the attempt that counted.
 Defined results
 - null or empty text: only the end id; null keys come first, in order of their texts
 - rows with one key are kept, side by side; access by key finds all of them
+- keys are integers; a key of another type is an error (number such rows first)
 - an empty table gives no shards and an empty manifest
 """
 
@@ -36,8 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismill.llm.bpe import texts
 from prismill.llm.store import Scratch
@@ -47,7 +50,12 @@ FOOTER = struct.Struct("<4sIIQQ")
 MAGIC = b"PTI1"
 #: Null keys are stored as the least integer.
 NULL_KEY = -(2**63)
-MANIFEST = "shard int, path string, first_key bigint, last_key bigint, rows bigint, tokens bigint"
+#: Where a shard's rows stand in the order of keys: its part, and its number in that part.
+MANIFEST = "part int, shard int, path string, first_key bigint, last_key bigint, rows bigint, tokens bigint"
+#: Shards of a page of the manifest.
+PAGE = 256
+#: A part has so many bytes of text at most, about, whatever the session's number of partitions.
+PART_BYTES = 256 << 20
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(64)]
 
 
@@ -172,7 +180,7 @@ def _writer(batches: Iterator[pa.RecordBatch], folder: str, encode, end: int, wi
         name = f"{part:06d}-{len(out):04d}-{uuid.uuid4().hex}.ids"
         with fs.open_output_stream(f"{at}/{name}") as f:
             f.write(pack(ids, k, width))
-        out.append((part, f"{folder}/{name}", int(k[0]), int(k[-1]), len(k), count))
+        out.append((part, len(out), f"{folder}/{name}", int(k[0]), int(k[-1]), len(k), count))
         ids, keys, count = [], [], 0
 
     for batch in batches:
@@ -188,11 +196,11 @@ def _writer(batches: Iterator[pa.RecordBatch], folder: str, encode, end: int, wi
     if keys:
         close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "first_key", "last_key", "rows", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "shard", "path", "first_key", "last_key", "rows", "tokens"])
 
 
 def write(docs: DataFrame, encode, end: int, scratch: Scratch, vocabulary: int, key: str = "doc_id", text: str = "text", parts: int | None = None, shard_tokens: int = 1 << 24) -> DataFrame:
-    """Write all rows in ascending key order as shards; the manifest, with the ids before each shard.
+    """Write all rows in ascending key order as shards; the manifest, with the ids before each shard and the shard's page.
 
     encode gives the ids of each of a list of texts and is sent to the executors. Rows of one
     key may be dealt to several parts, by a hash of their text, so that no key is too large for a task.
@@ -202,19 +210,36 @@ def write(docs: DataFrame, encode, end: int, scratch: Scratch, vocabulary: int,
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} isn't an integer")
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     width = 2 if vocabulary <= 1 << 16 else 4
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ties = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     d = d.withColumn("tie", ties).repartitionByRange(parts, F.col("key").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie").select("key", "text")
     manifest = scratch.table(d.mapInArrow(lambda b: _writer(b, folder, encode, end, width, shard_tokens), MANIFEST), "manifest")
-    # The manifest has a row for each shard, millions of ids, and not for each row of docs.
-    rows = sorted(manifest.collect(), key=lambda r: (r.shard, r.path))
-    before, out = 0, []
-    for r in rows:
-        out.append((r.shard, r.path, r.first_key, r.last_key, r.rows, r.tokens, before))
-        before += r.tokens
-    return scratch.table(spark.createDataFrame(out, MANIFEST + ", before bigint"), "manifest")
+    return scratch.table(_placed(manifest, scratch), "placed")
+
+
+def _placed(manifest: DataFrame, scratch: Scratch) -> DataFrame:
+    """The manifest with the ids before each shard, and its page.
+
+    Sums run over a part's shards, over a block of 1,000 parts and over the blocks, so that
+    none but the last has more than its own in one task, and that has a millionth of all parts' shards.
+    """
+    block = F.floor(F.col("part") / 1000)
+    parts = scratch.table(manifest.groupBy("part").agg(F.sum("tokens").alias("n"), F.count("*").alias("k")).withColumn("block", block), "parts")
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    before = lambda by, at: (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    blocks = blocks.select("block", total("n", before(None, "block")).alias("block_n"), total("k", before(None, "block")).alias("block_k"))
+    parts = parts.select("part", "block", total("n", before("block", "part")).alias("part_n"), total("k", before("block", "part")).alias("part_k"))
+    out = manifest.join(parts.join(blocks, "block"), "part")
+    first = total("tokens", before("part", "shard")) + F.col("part_n") + F.col("block_n")
+    page = F.floor((F.col("shard") + F.col("part_k") + F.col("block_k")) / PAGE)
+    return out.select(*manifest.columns, first.cast("long").alias("before"), page.cast("long").alias("page"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +262,24 @@ def described(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of the given keys: (key, ids) for each row found, by shard range and perfect hash."""
-    k = keys.select(F.col(key).cast("long").alias("key")).distinct()
-    m = manifest.select("path", "first_key", "last_key")
-    want = F.coalesce("key", F.lit(NULL_KEY))
-    near = k.join(m, (want >= F.col("first_key")) & (want <= F.col("last_key"))).select("path", want.alias("key")).repartition("path").sortWithinPartitions("path")
+    """Ids of the given keys: (key, ids) for each row found, by page, shard range and perfect hash."""
+    k = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
+    # One row for each PAGE shards, with three numbers.
+    bounds = manifest.groupBy("page").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("page").collect()
+    low, high = (np.array([r[c] for r in bounds], np.int64) for c in ("low", "high"))
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            first, n = np.searchsorted(high, own, "left"), np.searchsorted(low, own, "right")
+            n = np.maximum(n - first, 0)
+            page = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(page.astype(np.int64))], names=["key", "page"])
+
+    pages = manifest.groupBy("page").agg(F.collect_list(F.struct("first_key", "last_key", "path")).alias("shards"))
+    has = lambda s: (F.col("key") >= s["first_key"]) & (F.col("key") <= s["last_key"])
+    near = k.mapInArrow(paged, "key bigint, page bigint").join(pages, "page").select("key", F.explode(F.filter("shards", has)).alias("s"))
+    near = near.select("s.path", "key").repartition("path").sortWithinPartitions("path", "key")
 
     def run(batches):
         path = shard = None

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prismill.llm import bpe, langid, ogg, queries, tokenbin, wrappers
@@ -222,6 +223,36 @@ def test_shards_by_key_and_edges(spark):
     assert tokenbin.described(manifest).count() == docs.count()
     none = tokenbin.write(edge.empty(spark), lambda ts: [], 2, scratch, 49408, parts=2)
     assert none.count() == 0 and tokenbin.described(none).count() == 0
+    with pytest.raises(TypeError):
+        tokenbin.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), lambda ts: [], 2, scratch, 49408)
+
+
+def test_shards_are_placed_in_the_order_of_numbers(spark, monkeypatch):
+    """Parts beyond 999 and shards beyond 9999 of a part, in pages of three."""
+    monkeypatch.setattr(tokenbin, "PAGE", 3)
+    rng = random.Random(2)
+    rows = [(p, k, f"{p}/{k}", 0, 0, 1, rng.randrange(9)) for p in (0, 1, 9, 10, 999, 1000, 2500) for k in range(2)] + [(3, k, f"3/{k}", 0, 0, 1, 1) for k in (0, 9, 10, 9999, 10000)]
+    rows = [(p, sorted(x[1] for x in rows if x[0] == p).index(k), *more) for p, k, *more in rows]
+    rng.shuffle(rows)
+    got = sorted((r.part, r.shard, r.tokens, r.before, r.page) for r in tokenbin._placed(spark.createDataFrame(rows, tokenbin.MANIFEST), Scratch(spark, "t")).collect())
+    before = 0
+    for i, (_, _, n, b, page) in enumerate(got):
+        assert (b, page) == (before, i // 3)
+        before += n
+
+
+def test_lookup_over_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(tokenbin, "PAGE", 2)
+    docs = spark.createDataFrame([(3 * i % 101, f"text {i}") for i in range(101)] + [(50, "once more")], "doc_id long, text string")
+    manifest = tokenbin.write(docs, lambda ts: bpe.library(SPEC).encode_all(ts), 2, Scratch(spark, "t"), 49408, parts=9, shard_tokens=8)
+    assert manifest.select("page").distinct().count() > 2
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append([*LIBRARY.encode(r.text, add_special_tokens=False).ids, 2])
+    got = {}
+    for r in tokenbin.lookup(manifest, spark.range(-5, 120).withColumnRenamed("id", "doc_id")).collect():
+        got.setdefault(r.doc_id, []).append(r.ids)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 PAGE = "<html><head><title>t</title></head><body><div class=menu><a href=/>Home</a></div><div class=body-text><h2>{}</h2>{}</div><div class='box notice'>accept</div><footer>f</footer></body></html>"
