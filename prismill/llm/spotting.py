@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def once(df: DataFrame, *columns: Column) -> DataFrame:
+def once(df: DataFrame, *columns: Column | str) -> DataFrame:
     """Select columns so that each is worked out once a row.
 
     The optimizer moves conditions below projections and repeats what they

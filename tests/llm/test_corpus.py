@@ -385,8 +385,61 @@ def test_surrogates_keep_type_form_and_identity(spark):
     assert again[1] == a and other[1] != a
 
 
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_mentions_of_one_person_share_one_surrogate(spark):
+    texts = [
+        "Frau Anna Müller called. Frau Müller left; Anna Müller stayed. Müller, Anna", "Mr. John Smith wrote, then John Smith and Smith slept", "Dr. Jane Roe, Jane Roe and Prof. Roe", "Herr Müller und Herr Müllers Hund",
+        "Mr. Paul Smith", "Mrs. Paula Smith", "Anna Müller and John Smith have no title here", *(f"Frau Eva{chr(97 + i)} Braun" for i in range(26)), *(f"Mr. Own{chr(97 + i)}{chr(97 + j)}er" for i in range(26) for j in range(4)),
+    ]
+    got = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Frau (\S+) (\w+) called\. Frau (\w+) left; (\S+) (\w+) stayed\. (\w+), (\S+)", got[0])
+    assert m[1] == m[4] == m[7] != "Anna" and m[2] == m[3] == m[5] == m[6] != "Müller"
+    j = re.fullmatch(r"Mr\. (\S+) (\w+) wrote, then (\S+) (\w+) and (\w+) slept", got[1])
+    assert j[1] == j[3] and j[2] == j[4] == j[5] and "Smith" not in got[1] and "John" not in got[1]
+    d = re.fullmatch(r"Dr\. (\S+) (\w+), (\S+) (\w+) and Prof\. (\w+)", got[2])
+    assert d[1] == d[3] and d[2] == d[4] == d[5] != "Roe"
+    assert got[3].startswith(f"Herr {m[2]} und Herr ") and got[6] == texts[6]
+    people = [re.sub(r"^\S+ ", "", t) for t in got[4:6] + got[7:]] + [f"{j[1]} {j[2]}"]
+    assert len(set(people)) == len(people)
+
+
+def test_numbers_and_domains_stay_distinct_and_valid(spark):
+    """A finder of its own, over forms of which each one is taken, and numbers with check digits."""
+    rng = random.Random(5)
+    hosts = [f"{c}.io" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"d{i}.org" for i in range(10)]
+    mails = [f"{c}@{h}" for c in "abcdefghijklmnopqrstuvwxyz" for h in hosts[::4]] + [f"me@{h}" for h in hosts]
+    ibans = []
+    for _ in range(60):
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        ibans.append(f"DE{98 - mod97('DE00' + body):02d}{body}")
+    ibans.append("DE17" + ibans[0][4:])
+    nets = [f"10.0.{i}.{i}" for i in range(20)] + [f"8.8.{i}.1" for i in range(20)] + ["192.168.0.1", "172.16.255.0"]
+    texts = [f"x {v} y" for v in (*mails, *ibans, *nets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text[2:-2] for r in surrogates.replaced(docs, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(set(texts)) and not any(a == t[2:-2] for a, t in zip(got, texts, strict=True))
+    m, i, n = got[: len(mails)], got[len(mails) : -len(nets)], got[-len(nets) :]
+    domains = {}
+    for a, b in zip(mails, m, strict=True):
+        assert re.fullmatch(r"[a-z]+@[a-z]\d?\.(io|org)", b) and domains.setdefault(a.split("@")[1], b.split("@")[1]) == b.split("@")[1]
+    assert len(set(domains.values())) == len(hosts) and all(a != b for a, b in domains.items())
+    assert all(re.fullmatch(r"DE\d{20}", x) for x in i) and [mod97(x) == 1 for x in i] == [True] * 60 + [False]
+    inside = lambda x: re.match(r"(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.|", x)[1]
+    assert [inside(x) for x in n] == [inside(x) for x in nets] and all(0 <= int(o) < 256 for x in n for o in x.split("."))
+
+
+def test_permutations_have_every_form_once(spark):
+    d = spark.range(1000).select(F.format_string("%03d", "id").alias("x"))
+    for turn in (1, 4):
+        got = {r.x: r.y for r in surrogates.permuted(d, F.col("x"), "k", F.lit("t"), turn, "y").collect()}
+        assert set(got.values()) == set(got) and all(a != b for a, b in got.items())
+
+
 def test_surrogates_stay_distinct_where_formats_are_small(spark):
-    """Four hundred addresses of one letter and digit and one domain have 260 forms at most for each; none may meet."""
+    """A hundred addresses of one letter and digit and one domain have 260 forms at most for each; none may meet."""
     names = [f"{c}{d}@z.io" for c in "abcdefghij" for d in range(10)]
     docs = spark.createDataFrame([(i, f"write {n} now") for i, n in enumerate(names)], "doc_id long, text string")
     got = [re.search(r"\S+@\S+", r.text)[0] for r in surrogates.replaced(docs, "k").collect()]
