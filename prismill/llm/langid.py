@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismill.llm.bpe import added, texts
+from prismill.llm.bpe import added, fresh, texts
 
 #: About so many labelled texts of each language are learned from.
 SAMPLE_DOCS = 2000
@@ -42,7 +42,10 @@ FLOOR = -6.0
 GRAMS = 1 << 16
 #: A language uses a script if it has this share of its letters.
 SCRIPT_SHARE = 0.005
-CACHED_WORDS = 400_000
+#: Words whose scores a task remembers, some 150 bytes each.
+CACHED_WORDS = 200_000
+#: Bytes of text worked on at once.
+CHUNK = 4 << 20
 
 #: Fixed: first code points of Unicode's ranges, and the script there.
 SCRIPTS = [
@@ -207,38 +210,44 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model.of({k: c[:GRAMS] for k, c in counts.items()}, {k: c[GRAMS:] for k, c in counts.items()})
 
 
+_SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])
 SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
-    """Add each text's language and the share of its letters in that language's spans; on request also the spans."""
+    """Add each text's language and the share of its letters in that language's spans; on request also the spans.
+
+    Only texts go to Python and only labels come back; the rows themselves stay where they are.
+    """
     new = [T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())] + ([T.StructField(spans, T.ArrayType(SPAN))] if spans else [])
-    d, schema, column = added(docs, *new, reads=text)
+    d, _, column = added(docs, *new, reads=text)
+    kept = [c for c in d.columns if c != column or column == text]
     names = [*model.languages, "und"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(labeller: Labeller, part: list[str | None]) -> pa.Array:
+        found = [words(t) if model.languages else [] for t in part]
+        lengths = np.array([len(w) for w in found])
+        path, size, letters = labeller.label(found) if lengths.sum() else (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool))
+        doc = np.repeat(np.arange(len(part)), lengths)
+        lettered = np.bincount(doc, letters, len(part)) > 0
+        share = np.bincount(doc * len(names) + path, size, len(part) * len(names)).reshape(len(part), -1)
+        total = share.sum(1)
+        best = np.where(total > 0, share.argmax(1), np.where(lettered, model.commonest, len(names) - 1))
+        made = [pa.array([names[i] for i in best], pa.string()), pa.array(np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0))]
+        if spans:
+            made.append(pa.array(_spans(path, lengths, names), pa.list_(_SPAN)))
+        return pa.StructArray.from_arrays(made, [f.name for f in new])
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(model)
-        for batch in batches:
-            at = 0
-            for part in texts(batch.column(column), 1 << 23):
-                rows = batch.slice(at, len(part))
-                at += len(part)
-                found = [words(t) if model.languages else [] for t in part]
-                lengths = np.array([len(w) for w in found])
-                path, size, letters = labeller.label(found) if lengths.sum() else (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool))
-                doc = np.repeat(np.arange(len(part)), lengths)
-                lettered = np.bincount(doc, letters, len(part)) > 0
-                share = np.bincount(doc * len(names) + path, size, len(part) * len(names)).reshape(len(part), -1)
-                total = share.sum(1)
-                best = np.where(total > 0, share.argmax(1), np.where(lettered, model.commonest, len(names) - 1))
-                value = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
-                made = [pa.array([names[i] for i in best], pa.string()), pa.array(value)]
-                if spans:
-                    made.append(pa.array(_spans(path, lengths, names), pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*rows.schema.names, *(f.name for f in new)])
-
-    out = d.mapInArrow(run, schema)
-    return out if column == text else out.drop(column)
+        for c in columns:
+            parts = [labelled(labeller, part) for part in texts(c, CHUNK)]
+            yield pa.concat_arrays(parts or [labelled(labeller, [])])
+
+    # Said not to be deterministic, so that a condition on the label doesn't work it out once more.
+    label, at = F.arrow_udf(run, T.StructType(new)).asNondeterministic(), fresh(d, "labelled")
+    d = d.withColumn(at, label(F.col(f"`{column}`")))
+    return d.select(*(F.col(f"`{c}`") for c in kept), *(F.col(at)[f.name].alias(f.name) for f in new))
 
 
 def _spans(path: np.ndarray, lengths: np.ndarray, names: list[str]) -> list[list[dict]]:
