@@ -1,4 +1,12 @@
-"""From raw documents to token ids in five stages, each one written as Parquet and read again by the next."""
+"""From raw documents to token ids in five stages, each one written as Parquet and read again by the next.
+
+Defined results of the stages
+- an empty table gives an empty table with the same columns (the last one: its own)
+- null or empty texts are of no language and go in the first stage; given to a later one they stay as they are
+- null ids and nulls in other columns do no harm; rows alike in id and text are one document for near_dedup, which keeps one of them
+- ties: of equal or near texts the one with the least id stays, of one id's the one with the least hash
+- columns named like those used inside stay as they are; columns that only some tables have (n_chars) may be missing
+"""
 
 from __future__ import annotations
 
@@ -22,11 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id. Rows of one id are one document."""
-    kept = minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    copy = bpe.fresh(docs, "copy")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1)
+    """One document of each group of near-duplicates stays: the one with the least id. Texts that share an id are compared like others; a null id stays."""
+    key, copy = bpe.fresh(docs, "key"), bpe.fresh(docs, "copy")
+    d = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("sign")))
+    kept = minhash.near_duplicates(d.where("doc_id IS NOT NULL"), key=key, shingle=SHINGLE, percent=PERCENT).where("kept").select(key)
+    one = Window.partitionBy(key).orderBy(F.col("doc_id"))
+    named = d.join(kept, key, "left_semi").withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1)
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -42,7 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; every document stays."""
     forest = secret_scan.train(secret_scan.labelled_findings(spark))
     clean = secret_scan.redacted(docs, forest)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
