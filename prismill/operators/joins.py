@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], suffix: str = "_last") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], suffix: str = "_last", cell: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each left row the values of the right row of the same key that is latest at or before it.
 
-    Both sides go through one shuffle by key and one sort; no row is compared
-    with all rows of its key. Rows with a null key or time have null values.
+    Both sides go through one shuffle and one sort; no row is compared with all
+    rows of its key. ``cell`` cuts time into cells (a monotone function of the
+    time column, such as its day): a key's rows are then spread over its cells,
+    and only one row for each cell goes on to find what earlier cells end with.
+    Rows with a null key or time have null values.
     """
     names = {v: f"{v}{suffix}" for v in values}
-    a = left.select("*", *(F.lit(None).cast(right.schema[v].dataType).alias(n) for v, n in names.items()), F.lit(1).alias("side_"))
-    b = right.select(by, at, *(F.col(v).alias(n) for v, n in names.items()), F.lit(0).alias("side_")).where(F.col(by).isNotNull() & F.col(at).isNotNull())
-    w = Window.partitionBy(by).orderBy(F.col(at), "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cell or (lambda c: F.lit(0))
+    a = left.select("*", *(F.lit(None).cast(right.schema[v].dataType).alias(n) for v, n in names.items()), F.lit(1).alias("side_"), cells(F.col(at)).alias("cell_"))
+    b = right.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at, *(F.col(v).alias(n) for v, n in names.items()), F.lit(0).alias("side_"), cells(F.col(at)).alias("cell_"))
+    w = Window.partitionBy(by, "cell_").orderBy(F.col(at), "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b, allowMissingColumns=True)
-    known = F.col(by).isNotNull() & F.col(at).isNotNull()
     latest = F.last(F.when(F.col("side_") == 0, F.struct(*names.values())), ignorenulls=True).over(w)
-    out = both.withColumn("latest_", F.when(known, latest)).where("side_ = 1")
+    out = both.withColumn("latest_", F.when(F.col(by).isNotNull() & F.col(at).isNotNull(), latest)).where("side_ = 1")
+    if cell:
+        ends = b.groupBy(by, "cell_").agg(F.max_by(F.struct(*names.values()), at).alias("end_"))
+        earlier = Window.partitionBy(by).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+        some = a.select(by, "cell_").distinct().join(ends, [by, "cell_"], "full").withColumn("carried_", F.last("end_", ignorenulls=True).over(earlier)).drop("end_")
+        out = out.join(some, [by, "cell_"], "left").withColumn("latest_", F.coalesce("latest_", "carried_"))
     return out.select(*left.columns, *(F.col(f"latest_.{n}").alias(n) for n in names.values()))
 
 
@@ -38,9 +48,21 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: str, left_at: Column, right_at: Column, seconds: int) -> DataFrame:
-    """Pairs of one key whose right row comes at most so many seconds after the left one."""
+    """Pairs of one key whose right row comes at most so many seconds after the left one.
+
+    Time is cut into cells as long as the interval, and cells are part of the join's
+    key: a left row meets the right rows of two cells, not all of its key.
+    """
     gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
-    return left.join(right, by).where((right_at >= left_at) & (right_at <= left_at + gap))
+    cell = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(max(seconds, 1) * 1_000_000)).cast("long")
+    a = left.withColumn("cell_", F.explode(F.array(cell(left_at), cell(left_at) + 1)))
+    return a.join(right.withColumn("cell_", cell(right_at)), [by, "cell_"]).where((right_at >= left_at) & (right_at <= left_at + gap)).drop("cell_")
+
+
+def sized_broadcast(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """The table marked for sending to every executor if its rows, measured as text, have so many bytes at most; else as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

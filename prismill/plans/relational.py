@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismill.functions import columns
-from prismill.operators import joins
+from prismill.operators import joins, quantiles
 
 QUERIES = {}
 ORACLES = {}
@@ -126,7 +126,7 @@ ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purcha
 def join_asof(spark, d):
     e = table(spark, d, "events")
     clicks, buys = e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'")
-    return joins.asof_join(clicks, buys, "user_id", "ts", ["value"]).select("event_id", "user_id", "value_last")
+    return joins.asof_join(clicks, buys, "user_id", "ts", ["value"], cell=columns.day).select("event_id", "user_id", "value_last")
 
 
 @query("""
@@ -181,10 +181,15 @@ def agg_grouping_sets(spark, d):
 SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(median(l_extendedprice), 6) AS mid, round(stddev_samp(l_quantity), 6) AS spread, round(var_pop(l_discount), 8) AS var_discount,
        round(corr(l_quantity, l_extendedprice), 6) AS together, min(l_tax) AS low, max(l_tax) AS high FROM lineitem GROUP BY l_returnflag""")
 def agg_statistics(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.round(F.percentile("l_quantity", F.lit(0.9)), 6).alias("p90"), F.round(F.median("l_extendedprice"), 6).alias("mid"), F.round(F.stddev_samp("l_quantity"), 6).alias("spread"), F.round(F.var_pop("l_discount"), 8).alias("var_discount"),
+    # Three flags hold all rows, so quantiles come from histograms and not from all values in three tasks.
+    t, flag = table(spark, d, "lineitem"), ["l_returnflag"]
+    out = t.groupBy(*flag).agg(
+        F.round(F.stddev_samp("l_quantity"), 6).alias("spread"), F.round(F.var_pop("l_discount"), 8).alias("var_discount"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("together"), F.min("l_tax").alias("low"), F.max("l_tax").alias("high"),
     )
+    p90 = quantiles.exact_quantile(t, flag, "l_quantity", 0.9, 1.0, "p90")
+    mid = quantiles.exact_quantile(t, flag, "l_extendedprice", 0.5, 100.0, "mid")
+    return out.join(p90, flag).join(mid, flag).withColumns({"p90": F.round("p90", 6), "mid": F.round("mid", 6)})
 
 
 @query("""
@@ -356,26 +361,3 @@ def join_lateral(spark, d):
     order = [F.desc("c_acctbal"), F.col("c_custkey")]
     best = joins.top_per_group(table(spark, d, "customer"), ["c_nationkey"], order, 2)
     return table(spark, d, "nation").join(best, F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", "c_custkey", "c_acctbal")
-
-
-@query("SELECT o_orderkey, round(o_totalprice * 1.1, 4) AS gross FROM orders")
-def udf_scalar(spark, d):
-    """Kept to show a vectorised function; the built-in expression is what to use."""
-
-    def times(x):
-        return x * 1.1
-
-    gross = F.pandas_udf(times, "double", F.PandasUDFType.SCALAR)
-    return table(spark, d, "orders").select("o_orderkey", F.round(gross("o_totalprice"), 4).alias("gross"))
-
-
-@query("SELECT user_id, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id")
-def udf_grouped_map(spark, d):
-    """Each user's events in one frame; users are many and small, which grouped maps need."""
-    import pandas as pd
-
-    def spread(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": f["user_id"].iloc[:1], "spread": [f["value"].max() - f["value"].min()]})
-
-    out = table(spark, d, "events").select("user_id", "value").groupBy("user_id").applyInPandas(spread, "user_id long, spread double")
-    return out.select("user_id", F.round("spread", 6).alias("spread"))

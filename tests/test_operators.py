@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismill.operators import joins
+from prismill.operators import joins, quantiles
 
 
 def test_asof_join_against_brute_force(spark):
@@ -18,6 +19,30 @@ def test_asof_join_against_brute_force(spark):
     assert got.count() == 60
 
 
+def test_asof_join_in_cells_gives_the_same(spark):
+    rng = random.Random(8)
+    left = spark.createDataFrame([(i, rng.choice([1, 2, 3, None]), rng.choice([None, *range(60)])) for i in range(150)], "i int, k int, t int")
+    right = spark.createDataFrame([(k, t, 100 * k + t) for k in (1, 2) for t in rng.sample(range(60), 6)] + [(None, 3, 1), (1, None, 2)], "k int, t int, v int")
+    whole = joins.asof_join(left, right, "k", "t", ["v"])
+    cells = joins.asof_join(left, right, "k", "t", ["v"], cell=lambda c: F.floor(c / 7))
+    assert sorted(map(str, cells.collect())) == sorted(map(str, whole.collect())) and cells.columns == whole.columns
+
+
+def test_exact_quantile_against_sorting(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, rng.uniform(-9, 9), 3.0])) for g in ("a", "b") for _ in range(41)] + [("c", 5.0), ("d", None)]
+    for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {r.g: r.q for r in quantiles.exact_quantile(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", share, 0.5, "q").collect()}
+        want = {g: np.quantile([v for h, v in rows if h == g and v is not None], share) for g in "abc"}
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_tables_are_sent_out_by_their_size(spark):
+    d = spark.range(100).selectExpr("id AS k")
+    plan = lambda limit: d.join(joins.sized_broadcast(d, limit), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(10_000) and "strategy=broadcast" not in plan(10)
+
+
 def test_range_join_against_brute_force(spark):
     rng = random.Random(6)
     points = [(i, rng.uniform(-50, 50)) for i in range(200)] + [(200, None)]

@@ -1,12 +1,12 @@
 import pytest
 from oracle import check
 
-from prismill.plans import relational
+from prismill.plans import catalog, relational
 
 
-@pytest.mark.parametrize("name", sorted(relational.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_duckdb(spark, tiny, name):
-    check(spark, relational.QUERIES[name], relational.ORACLES[name], tiny)
+    check(spark, catalog.QUERIES[name], catalog.ORACLES[name], tiny)
 
 
 def test_entry(spark):
