@@ -29,11 +29,12 @@ from prismill.llm import spotting
 #: An unquoted value's characters: punctuation only where more follows, and signs that part values not before a name.
 _LAST = r"""[,;.:)\]}&?|]{0,8}(?:[\s"'<>]|$)"""
 _VALUE = rf"""(?:[^\s"'<>,;.:)\]}}&?|]|[.:)\]}}](?!{_LAST})|[,;&?|](?!{_LAST}|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=])){{8,}}+"""
-#: Candidates: quoted strings without spaces, passwords before a host, values after a name, and runs of what keys are made of.
+#: Candidates: quoted strings without spaces, passwords before a host, values after a name, web tokens with their dots, and runs of what keys are made of.
 CANDIDATE = (
     r"""(?<=["'])[^\s"']{8,}(?=["'])"""
     r"""|(?<=[A-Za-z0-9_.\-]:)(?<!(?i:pass|passwd|password|passphrase|pwd|secret|token|key):)[^\s:@/"'<>]{8,}+(?=@[A-Za-z0-9\[])"""
     rf"""|(?<=[:=>\s])(?<=[A-Za-z0-9_)\]"'\-][ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}})(?![=:>\s]|//|[A-Za-z][A-Za-z0-9+.\-]{{0,20}}://|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=][^\s"'<>]{{8}}){_VALUE}"""
+    r"""|(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{4,}+){1,2}"""
     r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
 )
 #: What is looked at of the text around, in characters; and for words that speak for or against a secret.
@@ -108,6 +109,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64, "+/=abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(b64, "+/=", "aZ0"), 1, 36)),
         F.concat(F.lit("sk_live_"), F.substring(F.translate(b64, "+/=", "aZ0"), 5, 24)), F.concat(some(7, 2), F.substring(h, 1, 4), F.lit("!"), F.upper(some(8, 1))),
         F.concat(F.initcap(some(7, 2)), digits(51, 2), some(8, 2), digits(52, 1)), F.concat(F.initcap(some(7, 1)), digits(51, 1), some(8, 2), pick(53, "", "!", "@", "$", ".", "#"), some(12, 1), digits(52, 3)),
+        F.concat(F.lit("eyJ"), F.translate(F.substring(b64, 1, 20), "+/=", "-_A"), F.lit("."), F.translate(F.substring(b64, 21, 40), "+/=", "-_A"), pick(59, "", ".sig-", "._x"), F.translate(F.substring(b64, 60, 24), "+/=", "-_A")),
     ]
     harmless = [
         some(1, 5), some(2, 7), F.concat(some(3, 2), F.lit("_"), some(4, 2), F.lit("_"), some(5, 3)), F.concat(some(3, 2), F.initcap(some(4, 2)), F.initcap(some(5, 2))), F.concat(F.lit("/usr/"), some(6, 2), F.lit("/"), some(7, 3)),
@@ -130,11 +132,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     telling = pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "', "GITHUB_TOKEN=", '"private_key_value": "')
     plain, form = pick(35, 'value = "', "X_VALUE=", "use ", '"id": "', " ", "("), F.pmod(F.xxhash64("h", F.lit(21)), F.lit(len(secrets)))
     seldom = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(4)) == 0
-    named, address = ~secret & seldom(61), secret & (form >= 8) & seldom(62)
+    named, address = ~secret & seldom(61), secret & form.between(8, 10) & seldom(62)
     contact = named & seldom(63)
     near = F.when(address, pick(64, "postgres://user:", "https://admin:", "root:", "user:", "mysql://app:")).when(contact, pick(65, "mailto:", "contact:", "mail:", "write to:")).when(
         named, pick(66, "note: ", "name: ", "type=", "see also: ", "path = ", "date: ", "n = ", "self.value = ", "return: ", "password: ", "token = ", "secret: ", "id=", "export ", "export ", "\n", " ")
-    ).when(secret & form.between(4, 7) & seldom(36), plain).when(secret, telling).when(
+    ).when(secret & (form.between(4, 7) | (form == 11)) & seldom(36), plain).when(secret, telling).when(
         kind >= 10, pick(32, "commit ", "sha256: ", "checksum ", "md5 ", "version ", "uuid: ", 'etag="', "revision ")
     ).when(seldom(37), pick(38, "password: ", "SECRET=", 'token = "', '"client_secret": "', "auth ", "API_KEY=x ", "secret in ")).otherwise(pick(33, " ", " ", ". ", "| ", '"', "see ", "file ", "("))
     value = F.when(secret, choose(21, secrets)).when(contact, F.concat(some(1, 2), pick(68, "", ".", "_"), some(2, 2))).when(named, choose(69, ordinary)).otherwise(choose(22, harmless))
@@ -147,8 +149,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """Trees as nested lists: [feature, threshold, left, right] or the share of secrets in a leaf."""
+def fitted(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+    """Spark ML's forest over the features of labelled findings (value, before, after, path, label), and the features' names."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -158,16 +160,25 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(d)
     if model.numClasses != 2:
         raise ValueError("labelled findings need both classes")
-    names = list(made)
+    return model, list(made)
+
+
+def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+    """Trees as nested lists: [feature, threshold, left, right] or the share of secrets in a leaf."""
+    return read(*fitted(labelled, trees, depth, seed))
+
+
+def read(model, names: list[str]) -> list:
+    """The trees of a forest of Spark ML."""
 
-    def read(node) -> list | float:
+    def node_of(node) -> list | float:
         if node.getClass().getSimpleName() == "LeafNode":
             a, b = list(node.impurityStats().stats())
             return round(b / (a + b), 6)
         s = node.split()
-        return [names[s.featureIndex()], s.threshold(), read(node.leftChild()), read(node.rightChild())]
+        return [names[s.featureIndex()], s.threshold(), node_of(node.leftChild()), node_of(node.rightChild())]
 
-    return [read(t._java_obj.rootNode()) for t in model.trees]
+    return [node_of(t._java_obj.rootNode()) for t in model.trees]
 
 
 def probability(forest: list, of: Column) -> Column:
@@ -218,10 +229,12 @@ def kind(value: Column) -> Column:
 def findings(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
     """One row per secret: key, start, n_chars, kind, value_sha256 and probability. The secret itself isn't returned."""
     d = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(path).alias("path")] if path else [])), forest, "text", "path" if path else None)
-    d = d.select("row.key", "gaps", "hits", F.explode(F.filter("found", lambda s: s["p"] >= least)).alias("s"))
+    sure = lambda s: s["p"] >= least
+    d = spotting.once(d.where(F.exists("found", sure)), F.col("row.key").alias("key"), spotting.starts(F.col("gaps"), F.col("hits")).alias("starts"), F.filter("found", sure).alias("found"))
+    d = d.select("key", "starts", F.explode("found").alias("s"))
     value = F.col("s.value")
     return d.select(
-        F.col("key").alias(key), spotting.start(F.col("gaps"), F.col("hits"), F.col("s.i")).cast("long").alias("start"), F.length(value).cast("long").alias("n_chars"),
+        F.col("key").alias(key), F.get("starts", F.col("s.i")).cast("long").alias("start"), F.length(value).cast("long").alias("n_chars"),
         kind(value).alias("kind"), F.sha2(value, 256).alias("value_sha256"), F.round("s.p", 6).alias("probability"),
     )
 

@@ -32,6 +32,9 @@ def woven(gaps: Column, middle: Column) -> Column:
     return F.array_join(both, "")
 
 
-def start(gaps: Column, hits: Column, i: Column) -> Column:
-    """Where the i-th match starts, in code points from 0."""
-    return F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
+def starts(gaps: Column, hits: Column) -> Column:
+    """Where each match starts, in code points from 0: one walk over a text's matches."""
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
+    walk = F.aggregate(sizes, none, lambda a, x: F.struct(F.array_append(a["at"], a["end"] + x["g"]).alias("at"), (a["end"] + x["g"] + x["h"]).alias("end")))
+    return walk["at"]

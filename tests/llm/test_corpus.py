@@ -308,6 +308,27 @@ def test_forest_on_findings_it_has_not_seen(spark, forest):
     assert d.where("label = said").count() / d.count() > 0.97
 
 
+def test_the_expression_gives_what_the_forest_predicts(spark):
+    """Every tree as one column expression against Spark ML's own predictions."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    model, names = secret_scan.fitted(secret_scan.labelled_findings(spark, 800), trees=7, depth=5)
+    d = secret_scan.labelled_findings(spark, 1200)
+    f = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), F.coalesce("path", F.lit("")))
+    d = d.select(*(c.alias(k) for k, c in f.items())).withColumn("p", secret_scan.probability(secret_scan.read(model, names), F.struct(*names)))
+    got = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(d)).select("p", vector_to_array("probability")[1].alias("q")).collect()
+    assert len(got) == 1200 and all(abs(r.p - r.q) < 1e-5 for r in got) and len({round(r.p, 3) for r in got}) > 10
+
+
+def test_places_of_many_findings_and_tokens_with_dots(spark, forest):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    values = [hashlib.sha256(b"z%d" % k).hexdigest()[:40] for k in range(60)]
+    text = "é " + "".join(f'text {k} token = "{v}" and\n' for k, v in enumerate(values)) + f"Authorization: Bearer {jwt} end"
+    got = secret_scan.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest, path=None).collect()
+    assert sorted(text[r.start : r.start + r.n_chars] for r in got) == sorted([*values, jwt])
+
+
 def test_secrets_of_documents_are_found_and_nothing_else(spark, forest):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {(r.doc_id, m.start(1)) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
