@@ -62,13 +62,18 @@ def windows(items: DataFrame, scratch: Scratch, size: int = WINDOW, item: str =
     return numbered, scratch.table(found.where("item IS NOT NULL").join(numbered, "phrase").select("window", "item"), "window_items")
 
 
+def _sized(terms: DataFrame) -> DataFrame:
+    """A table of terms, sent to every executor if they have so many bytes at most. It is read from files, so beyond that a common term's postings are a join side that can be split."""
+    size = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+
+
 def index(docs: DataFrame, terms: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (term, row, at) of these terms in all texts; and of the empty term at -1, with the row's key and n_words."""
     terms = scratch.table(terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))), "terms")
-    size = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0]
     d = spotting.once(docs, F.col(key).alias("key"), F.concat(F.array(F.lit("")), words(F.col(text))).alias("w")).withColumn("row", F.monotonically_increasing_id())
     n = F.size("w") - 1
-    d = d.select("row", "key", n.alias("n_words"), F.posexplode("w").alias("at", "term")).join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "term")
+    d = d.select("row", "key", n.alias("n_words"), F.posexplode("w").alias("at", "term")).join(_sized(terms), "term")
     own = F.col("at") == 0
     d = d.select("term", "row", (F.col("at") - 1).alias("at"), F.when(own, F.col("key")).alias("key"), F.when(own, F.col("n_words")).alias("n_words"))
     return scratch.table(d, "index")
@@ -98,7 +103,8 @@ def matches(postings: DataFrame, terms: DataFrame, scratch: Scratch, slop: int =
         at = F.col("start") + F.col("offset")
         need = need.withColumn("at", F.explode(F.sequence(at - slop, at + slop)) if slop else at)
         rows = scratch.table(left.select("row").distinct(), "rows")
-        some = postings.select("term", "row", "at").join(terms.where(ranks).select("term").distinct(), "term", "left_semi")
+        own = scratch.table(terms.where(ranks).select("term").distinct(), "terms")
+        some = postings.select("term", "row", "at").join(_sized(own), "term", "left_semi")
         if rows.count() <= BROADCAST_ROWS:
             some = some.join(F.broadcast(rows), "row", "left_semi")
         there = need.join(some, ["term", "row", "at"]).groupBy("window", "size", "row", "start").agg(F.count_distinct("rank").alias("n"))
