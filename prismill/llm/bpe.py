@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from prismill.llm import wordhash
 
 #: Words kept with their ids in each Python worker; beyond that the memory is emptied and filled anew.
-CACHED_WORDS = 250_000
-#: The same for the compact table that encoding of many texts uses.
-TABLE_WORDS = 2_000_000
+CACHED_WORDS = 25_000
+#: The same for the compact table that encoding of many texts uses: some 40 bytes a word with its ids.
+TABLE_WORDS = 1_500_000
 
 #: White space to Python's split() that the tokenizer files treat as symbols.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -150,10 +150,13 @@ class WordEncoder:
             return []
         data = b"\n".join(parts)
         first, last = wordhash.spans(data)
-        code, unique = pd.factorize(wordhash.hashes(data, first, last))
-        at = np.zeros(len(unique), np.int64)
-        at[code[::-1]] = np.arange(len(code))[::-1]
-        start, size = self.table.places(data, unique, first[at], last[at], self._encode_words)
+        h, check = (wordhash.hashes(data, first, last, seed) for seed in (0, 1))
+        code, unique = pd.factorize(h)
+        at = _first(code, len(unique))
+        if not np.array_equal(check[at][code], check):  # different words of one hash
+            code = pd.factorize(pd.MultiIndex.from_arrays([h, check]))[0]
+            at = _first(code, int(code.max()) + 1)
+        start, size = self.table.places(data, h[at], check[at], first[at], last[at], self._encode_words)
         n = size[code]
         end = np.concatenate([[0], np.cumsum(n)])
         ids = self.table.ids[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
@@ -162,11 +165,22 @@ class WordEncoder:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         return list(map(self._any, words))
 
+    def forget(self) -> None:
+        """Let go of the words remembered."""
+        self.words, self.table, self.piece_ids = _Memory(self._word, self.limit), _Table(), _Memory(self._merge, self.limit)
+
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The vocabulary strings of the ids, with one space between, as files without a decoder ask for."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _first(code: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes is first."""
+    at = np.zeros(n, np.int64)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    return at
+
+
 class LibraryEncoder(WordEncoder):
     """The same ids from the tokenizers library, asked once for each word that isn't remembered."""
 
@@ -200,11 +214,11 @@ class _Table:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 12, "<u4"), 0
 
-    def places(self, data: bytes, keys: np.ndarray, first: np.ndarray, last: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, data: bytes, keys: np.ndarray, checks: np.ndarray, first: np.ndarray, last: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of these different words are, and how many; words not seen before are encoded."""
         if len(self.keys) > TABLE_WORDS:
             self.__init__()
-        check = (wordhash.mix(wordhash.hashes(data, first, last, seed=1)) >> np.uint64(32)).astype(np.uint32)
+        check = (wordhash.mix(checks) >> np.uint64(32)).astype(np.uint32)
         at = np.searchsorted(self.keys, keys)
         safe = np.minimum(at, max(0, len(self.keys) - 1))
         known = (self.keys[safe] == keys) & (self.checks[safe] == check) if len(self.keys) else np.zeros(len(keys), bool)
@@ -301,8 +315,8 @@ def added(df: DataFrame, *fields: T.StructField, reads: str = "") -> tuple[DataF
     return df, T.StructType([*df.schema.fields, *fields]), at
 
 
-def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep: bool = True, whole: bool = False) -> DataFrame:
-    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple, or with ``whole`` make(texts) -> tuples. Columns of these names are replaced; the text itself need not be kept."""
+def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep: bool = True, whole: bool = False, end=None) -> DataFrame:
+    """Add fields that ``make`` gives for each text of a column: make(text) -> tuple, or with ``whole`` make(texts) -> tuples. Columns of these names are replaced; the text itself need not be kept. ``end`` is called when a task is done."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     d, schema, at = added(df, *(T.StructField(n, t) for n, t in fields.items()), reads=column)
@@ -318,6 +332,8 @@ def mapped(df: DataFrame, column: str, fields: dict[str, T.DataType], make, keep
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), *made], names=[*stay, *names])
+        if end:
+            end()
 
     return d.mapInArrow(run, schema)
 
@@ -352,4 +368,4 @@ def round_trip(df: DataFrame, spec: str, column: str = "text", ids: str | None =
             out = len(x), sha(x), sha(code.decode(x).encode())
             yield (*out, x.view(np.int32)) if ids else out
 
-    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make, keep, whole=True)
+    return mapped(df, column, fields | ({ids: T.ArrayType(T.IntegerType(), False)} if ids else {}), make, keep, whole=True, end=lambda: encoder(spec).forget())

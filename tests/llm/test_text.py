@@ -51,6 +51,29 @@ def test_small_memory_gives_the_same_ids():
     assert small.encode(text) == OWN.encode(text)
 
 
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    whole = bpe.wordhash.hashes
+    monkeypatch.setattr(bpe.wordhash, "hashes", lambda data, a, b, seed=0: whole(data, a, b, seed) if seed else whole(data, a, b) % np.uint64(3))
+    code = bpe.WordEncoder(SPEC)
+    for _ in range(2):
+        for texts in (["one two three four five", "two six one"], ["seven one"]):
+            assert [x.tolist() for x in code.encode_all(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", ["op2_language", "op3_bpe", "op6_token_shards", "op7_repeats", "op8_media", "op9_main_text"])
+def test_results_do_not_depend_on_files_and_batches(spark, tiny, tmp_path, monkeypatch, name):
+    """The same rows, dealt at random over seven files and in batches of three texts."""
+    for table in ("documents", "pages"):
+        spark.read.parquet(f"{tiny}/{table}.parquet").repartition(7).write.parquet(str(tmp_path / f"{table}.parquet"))
+    want = sorted(map(str, queries.QUERIES[name](spark, tiny).collect()))
+    monkeypatch.setattr(bpe.texts, "__defaults__", (2000,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, queries.QUERIES[name](spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_round_trip_query(spark, tiny):
     got = {r.doc_id: r for r in queries.op3_bpe(spark, tiny).collect()}
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
