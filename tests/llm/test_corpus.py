@@ -165,6 +165,13 @@ def test_components_of_chains_rings_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_a_star_of_very_many_links(spark):
+    n = 400_000
+    links = spark.range(1, n).select((F.col("id") + 5).alias("a"), F.lit(n // 2).cast("long").alias("b"))
+    got = components.components(links, Scratch(spark, "t")).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).first()
+    assert (got.n, got.lo, got.hi) == (n - 2, 6, 6)
+
+
 # Repeats
 
 
