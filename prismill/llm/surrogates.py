@@ -263,9 +263,12 @@ def entities(found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     kind, canon = F.col("kind"), F.col("canon")
     todo = scratch.table(found.distinct(), "entities")
     real = todo.select("kind", F.col("canon").alias("whole"))
+    # A surrogate takes long for the few bytes of an entity, so entities are dealt to all tasks and not by size.
+    dealt = lambda t: t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
     done, attempt = None, 0
     while attempt < ROUNDS or todo.where("kind IN ('family', 'given')").limit(1).count():
-        some = surrogate(todo if attempt < ROUNDS else todo.where("kind IN ('family', 'given')"), key, attempt).withColumn("whole", _whole(kind, canon, F.col("sub")))
+        some = dealt(todo if attempt < ROUNDS else todo.where("kind IN ('family', 'given')"))
+        some = surrogate(some, key, attempt).withColumn("whole", _whole(kind, canon, F.col("sub")))
         some = some.where(_network(kind, canon) == _network(kind, F.col("whole")))
         first = some.groupBy("kind", "whole").agg(F.min(F.struct("canon", "sub")).alias("f")).join(real, ["kind", "whole"], "left_anti")
         if done is not None:
@@ -280,7 +283,7 @@ def entities(found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     full = scratch.table(todo.select(shape.alias("shape")).distinct(), "full")
     rest = done.select("kind", "canon").unionByName(todo).withColumn("shape", shape).join(full, "shape", "left_semi").drop("shape")
     free = done.withColumn("shape", shape).join(full, "shape", "left_anti").select("kind", "canon", "sub")
-    return scratch.table(free.unionByName(surrogate(rest, key, 0)), "surrogates")
+    return scratch.table(free.unionByName(surrogate(dealt(rest), key, 0)), "surrogates")
 
 
 def _written(kind: Column, hit: Column, sub: Column) -> Column:
