@@ -20,7 +20,11 @@ condition compares their differences from c, which gives their similarity
 exactly; only links come out of it. No group is capped or sampled.
 
 With 32 bands of 5 registers a pair at similarity 0.85 is missed by all bands
-with a probability of 7e-9, one at 0.8 with 3e-6.
+with a probability of 7e-9, one at 0.8 with 3e-6, where registers are
+independent. Sets smaller than the number of buckets borrow most of theirs, from sources
+that differ from bucket to bucket; tests measure how many true links bands
+find for sets from 6 to 3,000 hashes. Sets are of 64-bit hashes of shingles,
+and so are their sizes and what is compared in the end.
 
 Defined results
 - null or empty text, or no words: empty set, linked with nothing, kept
