@@ -241,6 +241,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     scratch.drop(anchors, shared)
     passages = scratch.table(d.join(spans, "doc").mapInArrow(lambda b: _passages(b, window), f"high bigint, low int, doc {kind}, at int, n int"), "passages")
     first = passages.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first")).select("high", "low", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0"))
+    first = scratch.table(first, "earliest")
     roles = passages.join(first, ["high", "low"]).select("doc", (packed + F.col("n")).alias("span"), ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0"))).alias("first"))
     roles = scratch.table(roles, "roles")
     scratch.drop(passages, spans)
