@@ -15,10 +15,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows go to Python in batches; whole texts and sets of hashes are long, so there are fewer of them in one while a table is written.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session, or one made for it where it names none."""
+    """The folder named by the session; where it names none, one made for it on the only machine of a local session."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="prismill-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -46,8 +53,13 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: later plans start from files that any executor can read."""
-        at = self.folder(name)
-        df.write.option("compression", "zstd").parquet(at)
+        at, conf = self.folder(name), self.spark.conf
+        before = conf.get(BATCH)
+        conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         self.tables.append((out, at))
         return out
