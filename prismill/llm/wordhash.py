@@ -55,6 +55,12 @@ def words(text: str | None, lower: bool = False) -> np.ndarray:
     return hashes(data, *spans(data))
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hash of each of these words, none of which has white space inside or is empty."""
+    data = b" ".join(words)
+    return hashes(data, *spans(data))
+
+
 def sequences(w: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash of each n consecutive words."""
     if len(w) < n:
