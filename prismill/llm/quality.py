@@ -7,10 +7,10 @@ passage a weight from its own encoding, tanh(V h) * sigmoid(U h), over all
 of the document; the weighted encoding gives the score. All of it is learned at
 once from documents' labels by gradient descent, in numpy.
 
-Learning takes ``SAMPLE_DOCS`` labelled documents at most, those of the least
-hash of their ids, and of these the first whose passages are ``SAMPLE_PASSAGES``
-together; that bounds the driver's memory. Scoring reads all texts whole, in
-the tasks that read them. A long text's passages are encoded together, some 800
+Learning takes ``SAMPLE_DOCS`` labels at most, those of the least hash of their
+ids, and of their documents the first whose passages are ``SAMPLE_PASSAGES``
+together; that bounds the driver's memory and what is sent to the tasks. Scoring
+reads all texts whole, in the tasks that read them. A long text's passages are encoded together, some 800
 bytes for each 400 of text.
 
 Defined results
@@ -167,7 +167,8 @@ def learned(x: np.ndarray, passages: np.ndarray, y: np.ndarray, seed: int = 12)
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Attention | None:
     """Learn from labelled documents that aren't held out; None if there are none."""
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"))
-    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(own, "key")
+    own = own.orderBy(F.xxhash64("key"), "key", "y").limit(SAMPLE_DOCS)
+    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(own), "key")  # SAMPLE_DOCS rows
     d = d.select("y", "text", F.xxhash64("key").alias("place"), F.xxhash64("text").alias("copy"))
     chosen = d.select("place", "copy", F.length("text").alias("size")).orderBy("place", "copy").limit(SAMPLE_DOCS).collect()
     upto = int(np.searchsorted(np.cumsum([1 + r.size // (2 * PASSAGE) for r in chosen]), SAMPLE_PASSAGES, "right"))  # words have a sign and a space at least
