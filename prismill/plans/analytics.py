@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from prismill.functions import columns
 from prismill.operators import joins
 from prismill.plans.relational import query, revenue, table
 from prismill.sources import files
+from prismill.sources.scratch import Scratch
 
 
 @query("""
@@ -93,16 +91,8 @@ def vector_cosine(spark, d):
     return e.join(joins.sized_broadcast(means), "label").select("vec_id", F.round(columns.dot(v, m) / (columns.norm(v) * columns.norm(m)), 5).alias("cosine"))
 
 
-def _folder(spark) -> str:
-    """A new folder below the one that driver and executors share; below a temporary one in a local session without."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{at or 'file://' + tempfile.mkdtemp(prefix='prismill-')}/{uuid.uuid4().hex}"
-
-
 def _round_trip(spark, d, kind):
-    at, part = f"{_folder(spark)}/{kind}", table(spark, d, "part")
+    at, part = Scratch(spark, "files").folder(kind), table(spark, d, "part")
     files.write(part, at, kind, partition_by=["p_size"])
     return files.read(spark, at, part.schema, kind).where("p_size < 20").select("p_partkey", "p_name", "p_size", F.round("p_retailprice", 2).alias("price"))
 

@@ -48,6 +48,13 @@ def followed(first: DataFrame, second: DataFrame, within: str, late: str = "1 ho
     return a.join(b, F.expr(f"user = user_id AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {within}")).select("user", "a", "b")
 
 
+def followed_or_not(first: DataFrame, second: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
+    """As ``followed``, and each of the first stream's events that nothing followed, with a null, once the watermark rules out that something still comes."""
+    a = first.withWatermark("ts", late).select(F.col("user_id").alias("user"), F.col("ts").alias("ts_a"), F.col("event_id").alias("a"))
+    b = second.withWatermark("ts", late).select("user_id", F.col("ts").alias("ts_b"), F.col("event_id").alias("b"))
+    return a.join(b, F.expr(f"user = user_id AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {within}"), "left").select("user", "a", "b")
+
+
 TOTALS = "user_id long, n long, total double"
 
 

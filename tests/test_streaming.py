@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from prismill.plans import relational
-from prismill.streaming import events
+from prismill.streaming import events, keyed, replay
 
 
 def drained(df, name, tmp_path, mode):
@@ -50,3 +50,62 @@ def test_running_totals(spark, tiny, tmp_path):
     got = drained(events.running_totals(source(spark, tiny)), "totals", tmp_path, "update")
     last = got.groupBy("user_id").agg(F.max("n").alias("n"))
     same(last, spark.read.parquet(f"{tiny}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n")))
+
+
+def test_late_rows_are_counted_as_dropped_and_state_shrinks(spark, tiny):
+    from oracle import duck
+
+    from prismill.plans import streams
+
+    progress = []
+    e = streams.replayed(spark, tiny)
+    rows = streams.drained(events.tumbling(e, "1 day", late="1 day"), "append", progress)
+    want = duck(replay.ORACLE + "SELECT count(*) AS all_, count(*) FILTER (WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= seen - INTERVAL 1 DAY) AS late, max(step) + 1 AS steps FROM r", tiny)
+    state = [p.stateOperators[0] for p in progress]
+    groups = [o.numRowsTotal for o in state]
+    # Rows that are dropped are counted once for each group and batch that they would have gone to.
+    assert want.late[0] >= 5 and 0 < sum(o.numRowsDroppedByWatermark for o in state) <= want.late[0]
+    assert rows.agg(F.sum("n")).first()[0] <= want.all_[0] - want.late[0]
+    marks = [p.eventTime.get("watermark") for p in progress if p.numInputRows]
+    assert len(marks) == want.steps[0] and marks == sorted(marks) and len(set(marks)) > 5
+    assert max(groups) < rows.count() / 2 and groups[-1] < max(groups)
+
+
+def test_steps_hold_every_event_and_come_in_order(spark, tiny, tmp_path):
+    whole = spark.read.parquet(f"{tiny}/events.parquet")
+    n = replay.write(whole, str(tmp_path / "steps"), close=["view"])
+    back = spark.read.parquet(str(tmp_path / "steps"))
+    assert back.where("event_id >= 0").count() == whole.count() and back.where("event_id < 0").count() == 1
+    number = replay.steps(whole)
+    assert n == number.agg(F.max("step")).first()[0] + 2
+    out_of_order = number.alias("a").join(number.alias("b"), F.expr("a.ts < b.ts AND a.step > b.step")).count()
+    assert out_of_order > 100
+
+
+def test_left_join_gives_nulls_only_when_the_watermark_has_passed(spark, tiny):
+    from prismill.plans import streams
+
+    e = streams.replayed(spark, tiny)  # no closing row: the last ten days stay open
+    out = streams.drained(events.followed_or_not(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "6 HOURS", late="10 days"), "append")
+    whole = spark.read.parquet(f"{tiny}/events.parquet")
+    end = whole.agg(F.max("ts")).first()[0]
+    alone = out.where("b IS NULL").join(whole, F.col("a") == F.col("event_id"))
+    assert alone.count() > 10 and alone.where(F.col("ts") > F.lit(end) - F.expr("INTERVAL 10 DAYS 6 HOURS")).count() == 0
+
+
+def test_sessions_by_timers_with_events_out_of_order(spark, tmp_path):
+    minutes = {1: [0, 90, 30, 119, 300, 299, 421], 2: [5], 3: [1000, 0, 500, 120, 119]}
+    rows = [(u, i, m) for u, times in minutes.items() for i, m in enumerate(times)]
+    for i in range(max(map(len, minutes.values()))):  # one event of each user in each batch, as listed
+        part = [(n, m, u) for n, (u, j, m) in enumerate(rows) if j == i]
+        d = spark.createDataFrame(part, "event_id long, m long, user_id long")
+        at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(m AS INT), 0)")
+        whole = d.select("event_id", at.alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+        whole.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole.limit(1).withColumn("ts", F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")).withColumn("user_id", F.lit(9).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from prismill.plans import streams
+
+    out = streams.drained(keyed.sessions(events.stream(spark, str(tmp_path / "in"), "*.parquet"), 7_200_000, late="20 hours"), "append", **keyed.STORE)
+    minute = lambda t: int(t.timestamp() - 1704067200) // 60
+    got = sorted((r.user_id, minute(r.start), minute(r.end), r.n) for r in out.collect())
+    assert got == [(1, 0, 239, 4), (1, 299, 420, 2), (1, 421, 541, 1), (2, 5, 125, 1), (3, 0, 240, 3), (3, 500, 620, 1), (3, 1000, 1120, 1)]
