@@ -8,27 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that one task puts in order; only keys with more are cut into cells.
+HOT_ROWS = 1_000_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], suffix: str = "_last", cell: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each left row the values of the right row of the same key that is latest at or before it.
 
     Both sides go through one shuffle and one sort; no row is compared with all
     rows of its key. ``cell`` cuts time into cells (a monotone function of the
-    time column, such as its day): a key's rows are then spread over its cells,
-    and only one row for each cell goes on to find what earlier cells end with.
-    Rows with a null key or time have null values.
+    time column, such as its day): the rows of keys that have more than
+    ``HOT_ROWS`` are then spread over cells, and only one row for each cell goes
+    on to find what earlier cells end with. Where there is no such key, which one
+    aggregate tells, nothing is cut. Rows with a null key or time have null values.
     """
     names = {v: f"{v}{suffix}" for v in values}
-    cells = cell or (lambda c: F.lit(0))
-    a = left.select("*", *(F.lit(None).cast(right.schema[v].dataType).alias(n) for v, n in names.items()), F.lit(1).alias("side_"), cells(F.col(at)).alias("cell_"))
-    b = right.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at, *(F.col(v).alias(n) for v, n in names.items()), F.lit(0).alias("side_"), cells(F.col(at)).alias("cell_"))
+    hot = None
+    if cell:
+        n = left.select(by).unionByName(right.select(by)).where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
+        hot = n.where(F.col("n") > HOT_ROWS).select(by).withColumn("hot_", F.lit(1))
+        hot = None if hot.isEmpty() else hot
+
+    def placed(df: DataFrame) -> DataFrame:
+        if hot is None:
+            return df.withColumn("cell_", F.lit(None).cast("int"))
+        return df.join(hot, by, "left").withColumn("cell_", F.when(F.col("hot_") == 1, cell(F.col(at)))).drop("hot_")
+
+    a = placed(left.select("*", *(F.lit(None).cast(right.schema[v].dataType).alias(n) for v, n in names.items()), F.lit(1).alias("side_")))
+    b = placed(right.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at, *(F.col(v).alias(n) for v, n in names.items()), F.lit(0).alias("side_")))
     w = Window.partitionBy(by, "cell_").orderBy(F.col(at), "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b, allowMissingColumns=True)
     latest = F.last(F.when(F.col("side_") == 0, F.struct(*names.values())), ignorenulls=True).over(w)
     out = both.withColumn("latest_", F.when(F.col(by).isNotNull() & F.col(at).isNotNull(), latest)).where("side_ = 1")
-    if cell:
-        ends = b.groupBy(by, "cell_").agg(F.max_by(F.struct(*names.values()), at).alias("end_"))
+    if hot is not None:
+        ends = b.where("cell_ IS NOT NULL").groupBy(by, "cell_").agg(F.max_by(F.struct(*names.values()), at).alias("end_"))
         earlier = Window.partitionBy(by).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
-        some = a.select(by, "cell_").distinct().join(ends, [by, "cell_"], "full").withColumn("carried_", F.last("end_", ignorenulls=True).over(earlier)).drop("end_")
+        some = a.where("cell_ IS NOT NULL").select(by, "cell_").distinct().join(ends, [by, "cell_"], "full").withColumn("carried_", F.last("end_", ignorenulls=True).over(earlier)).drop("end_")
         out = out.join(some, [by, "cell_"], "left").withColumn("latest_", F.coalesce("latest_", "carried_"))
     return out.select(*left.columns, *(F.col(f"latest_.{n}").alias(n) for n in names.values()))
 
@@ -59,10 +74,18 @@ def interval_join(left: DataFrame, right: DataFrame, by: str, left_at: Column, r
     return a.join(right.withColumn("cell_", cell(right_at)), [by, "cell_"]).where((right_at >= left_at) & (right_at <= left_at + gap)).drop("cell_")
 
 
+#: A row counts as so many bytes at least, so a table's size is never measured over more rows than could be sent.
+ROW_BYTES = 16
+
+
 def sized_broadcast(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """The table marked for sending to every executor if its rows, measured as text, have so many bytes at most; else as it is."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    """The table marked for sending to every executor if its rows, measured as text, have so many bytes at most; else as it is.
+
+    Rows are read up to the number that the limit allows; of a larger table no more than these.
+    """
+    most = limit // ROW_BYTES
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= limit else df
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismill.operators import joins, quantiles
+from prismill.operators import joins, prefix, quantiles, recursion
 
 
 def test_asof_join_against_brute_force(spark):
@@ -70,3 +70,70 @@ def test_top_per_group(spark, k):
     d = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 9)], "g string, v int")
     got = joins.top_per_group(d, ["g"], [F.desc("v")], k)
     assert got.count() == k + 1
+
+
+def test_quantiles_with_nan_infinities_ties_and_large_numbers(spark, monkeypatch):
+    rng = random.Random(12)
+    pool = [float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0, 2.0**53 + 2, -(2.0**60), 1e300, 3.0, 3.0, 3.0]
+    rows = [(g, rng.choice(pool) if rng.random() < 0.3 + 0.2 * i else rng.uniform(-9, 9)) for i, g in enumerate(["a", "b", None]) for _ in range(300)]
+    rows += [("nan", float("nan"))] * 3 + [("x", 1.0), ("x", 2.0), ("x", float("nan")), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    for most in (50_000, 10):  # whole cells, and cells that are cut again and again
+        monkeypatch.setattr(quantiles, "MOST", most)
+        monkeypatch.setattr(quantiles, "CUTS", 4 if most == 10 else 256)
+        for share in (0.0, 0.37, 0.5, 0.99, 1.0):
+            got = {r.g: r.q for r in quantiles.exact_quantile(d, ["g"], "v", share, 0.5, "q").collect()}
+            want = {r.g: r.q for r in d.where("v IS NOT NULL").groupBy("g").agg(F.expr(f"percentile(v, {share}D)").alias("q")).collect()}
+            assert got.keys() == want.keys()
+            assert all(str(got[g]) == str(want[g]) or abs(got[g] - want[g]) <= 1e-12 * abs(want[g]) for g in want), (most, share, got, want)
+
+
+def test_quantile_of_one_value_that_all_rows_share(spark):
+    d = spark.range(20_000).select(F.lit("k").alias("g"), F.lit(7).alias("v"))
+    assert quantiles.exact_quantile(d, ["g"], "v", 0.5, 1.0, "q").first().q == 7.0
+
+
+def test_asof_join_of_hot_keys_gives_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    left = spark.createDataFrame([(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)])) for i in range(150)], "i int, k int, t int")
+    right = spark.createDataFrame([(k, t, 100 * k + t) for k in (1, 2, 3) for t in rng.sample(range(60), 6)] + [(None, 3, 1), (1, None, 2)], "k int, t int, v int")
+    whole = joins.asof_join(left, right, "k", "t", ["v"])
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    cells = joins.asof_join(left, right, "k", "t", ["v"], cell=lambda c: F.floor(c / 7))
+    assert sorted(map(str, cells.collect())) == sorted(map(str, whole.collect())) and cells.columns == whole.columns
+
+
+def test_reachable_against_search_from_each_start(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] + [(i, i + 1) for i in range(100, 130)] + [(130, 100), (5, None), (None, 5), (7, 7)]
+    starts = [(1, 1), (1, 100), (2, 100), (3, 999), (4, None), (1, 1)]
+    got = recursion.reachable(spark.createDataFrame(starts, "source int, node int"), spark.createDataFrame(links, "a int, b int"))
+    want = {}
+    for s, first in set(starts):
+        frontier, depth = {first} - {None}, 0
+        while frontier:
+            for n in frontier:
+                want[s, n] = min(depth, want.get((s, n), depth))
+            frontier, depth = {b for a, b in links if a in frontier and b is not None and want.get((s, b), 1e9) > depth + 1}, depth + 1
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and {(s, n): d for s, n, d in rows} == want and max(want.values()) == 30
+    assert recursion.reachable(spark.createDataFrame(starts, "source int, node int"), spark.createDataFrame(links, "a int, b int"), most=2).agg(F.max("depth")).first()[0] == 2
+    assert recursion.reachable(spark.createDataFrame(starts[:0], "source int, node int"), spark.createDataFrame(links, "a int, b int")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_running_totals_and_ranks_without_a_partition(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(i, rng.choice([None, 1, 2, 2, 2, 2, rng.randrange(30)]), rng.choice([None, 1, 5, -3]), "kept") for i in range(400)]
+    d = spark.createDataFrame(rows, "id int, k int, v long, rank string")
+    got = prefix.running(d, ["k"], ["id"], "v", ranges)
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    want, total, kinds = [], 0, []
+    for i, (n, k, v, _) in enumerate(ordered):
+        total += v or 0
+        if not kinds or kinds[-1][0] != k:
+            kinds.append((k, i))
+        want.append((n, k, v, i + 1, kinds[-1][1] + 1, len(kinds), total))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert prefix.running(d.limit(0), ["k"], ["id"], "v", ranges).count() == 0
