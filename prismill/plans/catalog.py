@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismill.plans import analytics, nearest, python, relational, streams
+from prismill.plans import analytics, nearest, python, relational, scale, streams
 
 QUERIES, ORACLES = relational.QUERIES, relational.ORACLES
-MODULES = (relational, analytics, python, streams, nearest)
+MODULES = (relational, analytics, python, streams, nearest, scale)

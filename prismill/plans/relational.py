@@ -329,9 +329,18 @@ def subquery_correlated(spark, d):
     return spark.sql("SELECT c_custkey, c_acctbal FROM customer_sub c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer_sub i WHERE i.c_nationkey = c.c_nationkey)")
 
 
-@query("WITH RECURSIVE t(i, total) AS (SELECT 1, 1 UNION ALL SELECT i + 1, total + i + 1 FROM t WHERE i < 20) SELECT i, total FROM t")
+TREE = """
+WITH RECURSIVE t(node, depth, nations) AS (
+  SELECT s_suppkey, 0, CAST(s_nationkey AS BIGINT) FROM {supplier} WHERE s_suppkey = 1
+  UNION ALL SELECT c.s_suppkey, t.depth + 1, t.nations + c.s_nationkey FROM t JOIN {supplier} c ON c.s_suppkey {div} 2 = t.node AND c.s_suppkey > 1)
+SELECT node, depth, nations FROM t"""
+
+
+@query(TREE.format(supplier="supplier", div="//"))
 def recursive_cte(spark, d):
-    return spark.sql("WITH RECURSIVE t(i, total) AS (SELECT 1, 1 UNION ALL SELECT i + 1, total + i + 1 FROM t WHERE i < 20) SELECT i, total FROM t")
+    """Suppliers as a tree by halves of their keys, with what adds up on the way down. Spark holds such a recursion to 100 levels and a million rows; ``recursive_reach`` has no such bound."""
+    table(spark, d, "supplier").createOrReplaceTempView("supplier_tree")
+    return spark.sql(TREE.format(supplier="supplier_tree", div="DIV"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
