@@ -1,8 +1,11 @@
 """BPE, language, media, shards and pages against libraries, round trips and held-out labels."""
 
+import collections
 import hashlib
+import html
 import json
 import random
+import re
 import zlib
 
 import edge
@@ -309,20 +312,57 @@ def test_main_text(page, text):
     assert wrappers.main_text(page, None) == text
 
 
-def test_fixed_block_in_content_goes_where_the_rest_differs():
-    pages = [f"<article><p>story {i}</p><div class=box>Join us</div></article>" for i in range(6)]
-    w = None
-    for p in pages:
-        x = wrappers.wrapper(wrappers.parse(p))
-        w = wrappers._joined(w, x) if w else x
-    rule = json.dumps(wrappers.content(w))
-    assert [wrappers.main_text(p, rule) for p in pages] == [f"story {i}" for i in range(6)]
-    same = [pages[0]] * 6
-    w = None
-    for p in same:
-        x = wrappers.wrapper(wrappers.parse(p))
-        w = wrappers._joined(w, x) if w else x
-    assert wrappers.main_text(pages[0], json.dumps(wrappers.content(w))) == "story 0 Join us"
+def test_articles_keep_what_other_pages_say_too():
+    page = lambda i: f"<article><h1>T {i}</h1><p>story {i}</p><h2>Background</h2><p>more {i}</p><div class=box>Join us</div><p class=x>All figures are in euros.</p></article>"
+    for n in (1, 3, 4, 5, 8, 40):
+        pages = [page(i) for i in range(n)]
+        rule = json.dumps(wrappers.content(merged(pages)))
+        want = [f"T {i} story {i} Background more {i} Join us All figures are in euros." for i in range(n)]
+        assert [wrappers.main_text(p, rule) for p in pages] == want, n
+
+
+def test_named_paragraphs_go_where_the_wrapper_calls_them_template():
+    page = lambda i: f"<article><p>story {i}</p><p class=advert>Buy now</p><p class='search-form'>the form of search {i}</p><p id=comment>A comment on law {i}</p></article>"
+    pages = [page(i) for i in range(6)]
+    rule = json.dumps(wrappers.content(merged(pages)))
+    assert [wrappers.main_text(p, rule) for p in pages] == [f"story {i} the form of search {i} A comment on law {i}" for i in range(6)]
+    assert wrappers.main_text(pages[0], json.dumps(wrappers.content(merged([pages[0]] * 6)))) == "story 0 Buy now the form of search 0 A comment on law 0"
+
+
+def test_hosts_without_article_made_of_given_texts(spark, tiny):
+    """Bars, boxes and legal lines around a text in unnamed containers; words found against words of the text."""
+    docs = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").where("length(text) BETWEEN 200 AND 4000").orderBy("doc_id").limit(120).collect()]
+    legal = "This site may not be copied, kept or sold, in whole or in part, without a written word of its owners. " * 30
+    scores = {"rule": [], "alone": []}
+    for host in range(6):
+        own = docs[host * 20 : host * 20 + 20]
+        bar = "".join(f"<a href=/{k}>Section {k} of site {host}</a> " for k in range(30))
+        box = f"<div class=k{'abcdef'[host]}><p>Read what others read at site {host}</p><p>{legal}</p></div>"
+        made = lambda t: f"<html><body><div class=u>{bar}</div>{box}<div class=w><div class=v><h1>A title</h1>" + "".join(f"<p>{html.escape(x)}</p>" for x in t.split("\n")) + f"</div></div><div class=z>{legal}</div></body></html>"  # noqa: E731, B023
+        pages = [made(t) for t in own]
+        rule = json.dumps(wrappers.content(merged(pages)))
+        for t, p in zip(own, pages, strict=True):
+            want = collections.Counter(("A title " + t).split())
+            for name, r in (("rule", rule), ("alone", None)):
+                got = collections.Counter(wrappers.main_text(p, r).split())
+                both = sum((got & want).values())
+                scores[name].append(2 * both / (sum(got.values()) + sum(want.values())))
+    assert np.mean(scores["rule"]) > 0.95 and min(scores["rule"]) > 0.9 and np.mean(scores["rule"]) > np.mean(scores["alone"]) + 0.2
+
+
+def test_wrappers_of_many_different_pages_stay_small():
+    pages = [f"<body><article><h1>T {i}</h1>" + "".join(f"<div class=c{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k // 26)}{chr(97 + k % 26)}><p>x{i}{k}</p></div>" for k in range(40)) + "</article></body>" for i in range(60)]
+    w = merged(pages)
+    assert len(json.dumps(w)) < 100_000
+    assert all(wrappers.main_text(p, json.dumps(wrappers.content(w))) == wrappers.main_text(p, None) for p in pages)
+
+
+def test_partial_wrappers_meet_in_rounds(spark, monkeypatch):
+    """A host in more parts than a task puts together gets the same texts."""
+    page = lambda i: f"<html><body><div class=a>{'the same on every page ' * 20}</div><div class=b><p>story number {i}</p></div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(60)], "page_id long, url string, html string").repartition(30)
+    monkeypatch.setattr(wrappers, "FAN_IN", 3)
+    assert sorted(r.text for r in wrappers.extract(pages).collect()) == sorted(f"story number {i}" for i in range(60))
 
 
 @pytest.mark.parametrize(
@@ -368,9 +408,9 @@ def test_the_wrapper_finds_the_content_of_hosts_without_article():
     page = lambda i: f"<html><body><div class=a><p>{about}</p></div><div class=b><h1>The news</h1><p>{story(i)}</p><p>Read more each day.</p></div><div class=c><p>{legal}</p></div></body></html>"
     pages = [page(i) for i in range(8)]
     rule = json.dumps(wrappers.content(merged(pages)))
-    want = [f"The news {story(i)}" for i in range(8)]
+    want = [f"The news {story(i)} Read more each day." for i in range(8)]
     with_rule = [wrappers.main_text(p, rule) for p in pages]
-    assert [t.replace(" Read more each day.", "") for t in with_rule] == want
+    assert with_rule == want
     assert all(wrappers.main_text(p, None) != t for p, t in zip(pages, with_rule, strict=True))
 
 
@@ -393,7 +433,22 @@ def test_slots_of_copies_alone_take_nothing_from_articles():
             w = wrappers._joined(w, json.loads(json.dumps(x))) if w else x
         rule = json.dumps(wrappers.content(w))
         got = [wrappers.main_text(p, rule) for p in pages]
-        assert got == ["A one two item last"] * 5 + ["B old said"] * 4 + [f"T {i} first {i} second {i}" for i in range(6)] + [f"U {i} third {i}" for i in range(5)]
+        assert got == ["A one two item last"] * 5 + ["B old said"] * 4 + [f"T {i} first {i} second {i}" for i in range(6)] + [f"U {i} third {i} Share it" for i in range(5)]
+
+
+def independent(page):
+    """The blocks of a page's article by regular expressions alone, for pages that have one and nothing but text in it."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:h1|p)[^>]*>", re.sub(r"<br\s*/?>", " ", inside))
+    return " ".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in parts) if x)
+
+
+def test_pages_query_against_an_independent_extractor(spark, tiny):
+    got = {r.page_id: r.text for r in queries.op9_main_text(spark, tiny).collect()}
+    pages = [r for r in spark.read.parquet(f"{tiny}/pages.parquet").collect() if r.html.count("<article") == 1]
+    inside = [re.search(r"<article[^>]*>(.*?)</article>", r.html, re.S)[1] for r in pages]
+    plain = [r for r, x in zip(pages, inside, strict=True) if not re.search(r"<(?!/?(?:h1|p|b|br)\b)", x)]
+    assert len(plain) > 0.9 * len(got) and [got[r.page_id] for r in plain] == [independent(r.html) for r in plain]
 
 
 def test_pages_query_and_both_ways_to_apply_rules(spark, tiny, monkeypatch):
