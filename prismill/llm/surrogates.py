@@ -27,7 +27,9 @@ moved. Only column functions are used.
 Defined results
 - null text stays null, a text without entities stays as it is, both with 0 entities
 - overlapping patterns: the leftmost match counts, of several there the first in order of ``PATTERNS``
-- a name is a title and at most two capitalised words; people without a title anywhere in their text aren't found
+- a name is one or more titles and all names after them with their particles and initials; it ends before words that
+  begin sentences or name days (``NO_NAME``), and as ``_cut`` says; what is no part of it stays in the text
+- the last of the names is the family name, all before are given names; people without a title anywhere in their text aren't found
 - a title that tells no gender gives a name that tells none
 - repeated rows and null ids are rows of their own; all columns are kept, one named as the count is replaced
 - texts of any length are read whole; an empty table gives an empty table
@@ -48,6 +50,17 @@ MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Господин|Κύριος"
 NEUTRAL = "Dr|Prof|Professor|Доктор|Δρ"
 _GAP = r"[ \u00A0]{1,3}"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
+#: Fixed: small words within family names.
+PARTICLES = "van|von|vom|zu|zur|der|den|de|del|della|di|da|do|dos|das|du|des|la|le|les|los|las|ter|ten|af|av|bin|ibn"
+#: Fixed: words that begin a sentence or name a day or month, but no person, where they follow a name without a full stop.
+NO_NAME = (
+    "The This That These Those He She It We They You There Here And But Or If When While After Before Since Please Yours On In At By For From With To As Is Was Are Were Has Have Had Will Would Can May Must Not No "
+    "Der Die Das Dem Den Des Ein Eine Einen Einem Einer Er Sie Es Wir Ihr Ich Am Im Um Auf Aus Bei Mit Nach Vom Von Vor Zu Zum Zur Und Oder Aber Wenn Wie Bitte Heute Gestern Morgen Hier Dort Ist War Hat Hatte Wird Kann Soll Nicht "
+    "Le Les Il Elle On Nous Vous Ils Elles Un Une Et Mais Ou Si Dans Avec Pour Sur Est El Los Las Ella Ellos Una Pero Con Por Para Desde Hoy "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Lunes Martes Jueves Viernes Domingo"
+)
+#: One name with what stands before it: particles and initials. It is no title and none of NO_NAME.
+_WORD = rf"(?:(?:{PARTICLES}){_GAP}){{0,3}}(?:\p{{Lu}}\.[ \u00A0]?){{0,4}}(?!(?:{'|'.join(NO_NAME.split())}|{FEMALE}|{MALE}|{NEUTRAL})(?![\p{{L}}'’\-])){_NAME}"
 #: Entities by type, the most telling first.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9\p{L}._%+\-])[A-Za-z0-9\p{L}._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?){1,8}",
@@ -56,13 +69,15 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[^0-9A-Za-z+@]{0,6}\(?[0-9]{1,4}\)?[^0-9A-Za-z+@]{1,6}[0-9]{2,8}(?:[-. ][0-9]{2,4}){0,3}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\)[^0-9A-Za-z+@]{0,6}[0-9]{3}-[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.?{_GAP}{_NAME}(?:{_GAP}{_NAME})?",
+    "name": rf"(?<![\p{{L}}])(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?{_GAP})+{_WORD}(?:{_GAP}{_WORD})*",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every entity but a name has, and the beginnings of titles: looked for before the patterns, which take longer.
 SIGN = "[0-9@]"
 TITLES = ("Mr", "Ms", "Miss", "Mme", "Madame", "Frau", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Госпожа", "Κύριος", "Κυρία", "Dr", "Prof", "Доктор", "Δρ")
-TITLE = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.?{_GAP}"
+TITLE = rf"^(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?{_GAP})+"
+#: Titles of a language that writes all nouns with a capital.
+NOUNS = r"^(?:Herr|Frau)\b"
 #: Tries to find a surrogate of an entity's form that is no entity; below 10, so that each moves a digit by another number.
 ROUNDS = 4
 
@@ -300,25 +315,67 @@ def _written(kind: Column, hit: Column, sub: Column) -> Column:
     return F.when(kind == "email", mail).when(kind == "ip", sub).when(kind == "name", F.concat(F.regexp_extract(hit, TITLE, 0), sub)).otherwise(numbers)
 
 
+def _bare(hit: Column) -> Column:
+    """A mention without its titles, its words one space apart."""
+    return F.regexp_replace(F.regexp_replace(hit, TITLE, ""), _GAP, " ")
+
+
+def _family(bare: Column) -> Column:
+    """The last word of a name with the particles before it."""
+    return F.regexp_extract(bare, rf"(?<![\p{{L}}'’\-])(?:(?:{PARTICLES}) ){{0,3}}{_NAME}$", 0)
+
+
+def _cut(hits: Column) -> Column:
+    """Mentions whose last words are no names, as far as they are ones.
+
+    After a title of a language with capital nouns any noun may follow a name. If
+    one of the words, but not the last, is a family name elsewhere in the text, alone
+    after a title or at the end of another mention, the name ends there.
+    """
+    titled = F.transform(F.array_distinct(F.filter(hits, lambda h: h.rlike(rf"^(?:{PATTERNS['name']})$"))), lambda h: F.struct(h.alias("hit"), _bare(h).alias("bare")))
+
+    def ends(x: Column) -> Column:
+        other = F.transform(F.filter(titled, lambda y: y["bare"] != x["bare"]), lambda y: _family(y["bare"]))
+        words = F.split(x["bare"], " ")
+        known = F.filter(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.array_contains(other, w))
+        cut = (F.size(known) > 0) & ~F.array_contains(other, _family(x["bare"])) & x["hit"].rlike(NOUNS)
+        upto = F.regexp_substr(x["hit"], F.concat(F.lit(r"^.*?(?<!\p{L})\Q"), F.get(known, F.lit(0)), F.lit(r"\E(?![\p{L}'’\-])")))
+        return F.when(cut, upto)
+
+    return F.filter(F.transform(titled, ends), lambda h: h.isNotNull())
+
+
 def _people(hits: Column) -> Column:
-    """The people of a text's mentions with titles: gender, given name (may be empty) and family name, as written."""
-    titled = F.filter(hits, lambda h: h.rlike(rf"{TITLE}{_NAME}(?:{_GAP}{_NAME})?$"))
+    """The people of a text's mentions with titles: gender, given names (may be empty) and family name, as written but for spaces."""
+    titled = F.filter(hits, lambda h: h.rlike(rf"^(?:{PATTERNS['name']})$"))
 
     def person(h: Column) -> Column:
-        gender = F.when(h.rlike(rf"^(?:{FEMALE})\b"), F.lit("f")).when(h.rlike(rf"^(?:{MALE})\b"), F.lit("m")).otherwise(F.lit("n"))
-        words = F.split(F.regexp_replace(h, TITLE, ""), _GAP)
-        return F.struct(gender.alias("gender"), F.when(F.size(words) > 1, words[0]).otherwise(F.lit("")).alias("given"), F.element_at(words, -1).alias("family"))
+        told = lambda titles: h.rlike(rf"^(?:(?:{NEUTRAL})\.?{_GAP})*(?:{titles})\b")
+        gender = F.when(told(FEMALE), F.lit("f")).when(told(MALE), F.lit("m")).otherwise(F.lit("n"))
+        bare = _bare(h)
+        return F.struct(gender.alias("gender"), F.trim(F.left(bare, F.length(bare) - F.length(_family(bare)))).alias("given"), _family(bare).alias("family"))
 
     return F.array_distinct(F.transform(titled, person))
 
 
+def _singles(p: Column) -> Column:
+    """The given names of a person, together and one by one."""
+    return F.filter(F.array_distinct(F.concat(F.array(p["given"]), F.split(p["given"], " "))), lambda w: F.length(w) > 2)
+
+
+def _last(p: Column) -> Column:
+    """The family name, with and without its particles."""
+    return F.array_distinct(F.array(p["family"], F.regexp_extract(p["family"], rf"{_NAME}$", 0)))
+
+
 def _named(people: Column) -> Column:
-    """A pattern of these people without titles: both names, or one."""
-    quoted = lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))
-    both = F.transform(F.filter(people, lambda p: p["given"] != ""), lambda p: F.concat(quoted(p["given"]), F.lit(_GAP), quoted(p["family"])))
-    single = F.filter(F.flatten(F.transform(people, lambda p: F.array(p["family"], p["given"]))), lambda w: F.length(w) > 2)
-    some = F.array_join(F.concat(F.array_distinct(both), F.transform(F.array_sort(F.array_distinct(single), lambda x, y: F.length(y) - F.length(x)), quoted)), "|")
-    return F.concat(F.lit(r"(?<![\p{L}'’\-])(?:"), some, F.lit(r")(?![\p{L}'’\-])"))
+    """A pattern of these people without titles: given and family names, or one of them."""
+    quoted = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit(" "), F.lit("\\E" + _GAP + "\\Q")), F.lit("\\E"))
+    both = F.flatten(F.transform(people, lambda p: F.transform(_singles(p), lambda g: F.concat(g, F.lit(" "), p["family"]))))
+    single = F.flatten(F.transform(people, lambda p: F.concat(_last(p), _singles(p))))
+    words = F.filter(F.array_distinct(F.concat(both, single)), lambda w: F.length(w) > 2)
+    some = F.array_join(F.transform(F.array_sort(words, lambda x, y: F.length(y) - F.length(x)), quoted), "|")
+    return F.when(some != "", F.concat(F.lit(r"(?<![\p{L}'’\-])(?:"), some, F.lit(r")(?![\p{L}'’\-])")))
 
 
 def _parts(hits: DataFrame) -> DataFrame:
@@ -326,14 +383,15 @@ def _parts(hits: DataFrame) -> DataFrame:
     people, hit, who = F.col("people"), F.col("hit"), F.col("who")
     keep = [F.col(c) for c in ("n", "i", "hit", "type")]
     named = F.col("type") == "name"
-    d = spotting.once(hits, *keep, people, F.when(named, F.get(_people(F.array(hit)), F.lit(0))).alias("own"), F.when(named, F.split(hit, _GAP)).alias("words"))
-    last, first, two, titled = F.element_at("words", -1), F.get("words", F.lit(0)), F.size("words") > 1, F.col("own").isNotNull()
-    # Without a title: someone with both names, else with this family name, else with this given name.
-    same = F.filter(people, lambda p: (p["family"] == last) & (~two | (p["given"] == first)))
-    given = F.filter(people, lambda p: p["given"] == last)
-    d = spotting.once(d, *keep, F.coalesce("own", F.get(same, F.lit(0)), F.get(given, F.lit(0))).alias("who"), titled.alias("titled"), two.alias("two"), last.alias("last"))
-    has_family = F.col("titled") | F.col("two") | (who["family"] == F.col("last"))
-    has_given = F.when(F.col("titled"), who["given"] != "").otherwise(F.col("two") | (who["family"] != F.col("last")))
+    d = spotting.once(hits, *keep, people, F.when(named, F.get(_people(F.array(hit)), F.lit(0))).alias("own"), F.when(named, _bare(hit)).alias("bare"))
+    bare = F.col("bare")
+    # Without a title: someone with given and family name, else with this family name, else with this given name.
+    both = F.filter(people, lambda p: F.exists(_singles(p), lambda g: F.concat(g, F.lit(" "), p["family"]) == bare))
+    same = F.filter(people, lambda p: F.array_contains(_last(p), bare))
+    given = F.filter(people, lambda p: F.array_contains(_singles(p), bare))
+    d = spotting.once(d, *keep, F.coalesce("own", F.get(both, F.lit(0)), F.get(same, F.lit(0)), F.get(given, F.lit(0))).alias("who"), F.col("own").isNotNull().alias("titled"), (F.size(both) > 0).alias("two"), (F.size(same) > 0).alias("last"))
+    has_family = F.col("titled") | F.col("two") | F.col("last")
+    has_given = F.when(F.col("titled"), who["given"] != "").otherwise(F.col("two") | ~F.col("last"))
     # Latin family names are one for all genders; others have endings.
     gender = F.when(who["family"].rlike(r"\p{IsCyrillic}|\p{IsGreek}"), who["gender"]).otherwise(F.lit("n"))
     entity = lambda k, c: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), c.alias("canon"))
@@ -359,8 +417,12 @@ def replaced(docs: DataFrame, key: str, text: str = "text", count: str = "n_enti
     has = F.coalesce(may & F.col(text).rlike(ANY), F.lit(False))
     clean = docs.where(~has).select(*(F.col(f"`{c}`") for c in names), F.lit(0).cast("long").alias(count))
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    rows = spotting.once(docs.where(has), row, F.col(text).alias("text"), _people(F.regexp_extract_all(F.col(text), F.lit(PATTERNS["name"]), F.lit(0))).alias("people"))
-    any_of = F.when(F.size("people") > 0, F.concat(F.lit(ANY + "|"), _named(F.col("people")))).otherwise(F.lit(ANY))
+    rows = spotting.once(docs.where(has), row, F.col(text).alias("text"), F.regexp_extract_all(F.col(text), F.lit(PATTERNS["name"]), F.lit(0)).alias("mentions"))
+    rows = spotting.once(rows, F.col("row"), F.col("text"), F.col("mentions"), _cut(F.col("mentions")).alias("cut"))
+    whole = F.filter("mentions", lambda h: ~F.exists("cut", lambda c: h.startswith(c)))
+    rows = spotting.once(rows, F.col("row"), F.col("text"), F.col("cut"), _people(F.concat(whole, "cut")).alias("people"))
+    short = F.array_join(F.transform(F.array_distinct("cut"), lambda c: F.concat(F.lit(r"(?<![\p{L}])\Q"), c, F.lit(r"\E(?![\p{L}'’\-])|"))), "")
+    any_of = F.concat(short, F.lit(ANY), F.coalesce(F.concat(F.lit("|"), _named(F.col("people"))), F.lit("")))
     rows = spotting.once(rows, F.col("row"), F.col("text"), F.col("people"), any_of.alias("pattern"))
     gaps, hits = F.split("text", F.col("pattern"), -1), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
     rows = scratch.table(rows.select("row", "people", gaps.alias("gaps"), hits.alias("hits")).withColumn("n", F.monotonically_increasing_id()), "rows")
