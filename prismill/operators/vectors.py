@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from prismill.sources.scratch import Scratch
 
-#: Nodes that cells' means are made from, rounds of that, nodes of a cell on the whole, and cells at most (their means go to every task).
-SAMPLE, ROUNDS, PER_CELL, MOST_CELLS = 20_000, 10, 100, 4096
+#: Nodes that cells' means are made from, rounds of that, and cells at most (their means go to every task); below that as many as the root of the nodes.
+SAMPLE, ROUNDS, MOST_CELLS = 20_000, 10, 4096
 BLOCK, PART = 8192, 2048
 #: Queries that the number of probes is fitted on.
 TRIED = 256
@@ -94,7 +94,7 @@ def build(rows: DataFrame, key: str, vector: str, size: int, best: int = 10, cel
     node = scratch.table(node, "nodes")
     n = node.count()
     sample = node.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
-    cells = cells or max(1, min(MOST_CELLS, n // PER_CELL))
+    cells = cells or max(1, min(MOST_CELLS, round(n**0.5)))
     mean = means(np.array([r.v for r in sample]), cells) if sample else np.zeros((1, size))
     kind = node.schema["node"].dataType.simpleString()
 
