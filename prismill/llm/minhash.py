@@ -14,10 +14,14 @@ finished exactly, by what their nodes have beyond c and lack of it. For nodes
 s and x that aren't both linked with c, |s & x| = |s & x & c| + |(s - c) & (x - c)|
 and the first part is at most |c| less the larger lack, so a link needs so
 many shared hashes beyond c or, where x is smaller than c and the sizes allow
-it, a shared lack. An inverted index of these differences, cut to the prefixes
-that such an overlap must touch, brings nodes together, and the join's own
-condition compares their differences from c, which gives their similarity
-exactly; only links come out of it. No group is capped or sampled.
+it, a shared lack. An inverted index of these differences brings nodes
+together. It holds of each node the prefix that such an overlap must touch, in
+an order that puts the hashes of most nodes last: what many unlinked nodes
+share is in it only where it could be most of what a link needs. In the join,
+what follows the common hash on both sides bounds the overlap, so a pair whose
+rest is too short goes by four numbers; the condition then compares the
+differences from c, which gives the similarity exactly, and only links come
+out. No group is capped or sampled.
 
 With 32 bands of 5 registers a pair at similarity 0.85 is missed by all bands
 with a probability of 7e-9, one at 0.8 with 3e-6, where registers are
@@ -56,6 +60,8 @@ ROUNDS = 2
 SIGMAS = 5.0
 #: Sizes are told apart up to two to this power.
 LARGEST = 41
+#: Hashes beyond a pivot that so many of its nodes have at most are not told apart by how many have them.
+COMMON = 8
 
 _SEQ = np.random.default_rng(7).integers(0, BUCKETS, (4096, BUCKETS))
 
@@ -170,26 +176,44 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of nodes a with their pivots b: the lack, all differences (lacks under another name), and those to look for in the index.
+    """Of nodes a with their pivots b: what a has beyond b, what it lacks (under another name), and the shared hashes beyond b that any link needs.
 
-    low is the least size of a node of the pivot. A link needs ``least`` shared
-    hashes beyond the pivot, so two nodes share one among the first of each.
+    low is the least size of a node of the pivot. A partner is no smaller, and
+    no smaller than the share of a's own size that a link asks for.
     """
     share = percent / (100 + percent)
     for batch in batches:
-        lacks, diffs, looks = [], [], []
+        beyonds, lacks, leasts = [], [], []
         for x, y, low in zip(batch.column("ha"), batch.column("hb"), batch.column("low").to_pylist(), strict=True):
             p, c = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             beyond, lack = np.setdiff1d(p, c, assume_unique=True), mix(np.setdiff1d(c, p, assume_unique=True))
-            least = int(np.ceil(share * (len(p) + low) - len(c) + len(lack) - 1e-9))
-            look = beyond[: max(0, len(beyond) - max(least, 1) + 1)]
-            if least <= 0 and low < len(c):
-                look = np.concatenate([look, lack])
-            lacks.append(len(lack))
-            diffs.append(np.concatenate([beyond, lack]))
-            looks.append(look)
-        cols = [batch.column("a"), batch.column("b"), batch.column("na"), pa.array([len(y.as_buffer()) // 8 for y in batch.column("hb")], pa.int64()), pa.array(lacks, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*cols, *(wordhash.lists([signed(v) for v in x], pa.int64()) for x in (diffs, looks))], names=["doc", "pivot", "n", "np", "lack", "diff", "look"])
+            partner = max(low, -(-percent * len(p) // 100))
+            leasts.append(int(np.ceil(share * (len(p) + partner) - len(c) + len(lack) - 1e-9)))
+            beyonds.append(signed(beyond))
+            lacks.append(signed(lack))
+        sizes = [pa.array([len(y.as_buffer()) // 8 for y in batch.column("hb")], pa.int64()), pa.array([len(v) for v in lacks], pa.int64())]
+        lists = [wordhash.lists(v, pa.int64()) for v in (beyonds, lacks)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "low")), *sizes, pa.array(leasts, pa.int64()), *lists], names=["doc", "pivot", "n", "low", "np", "lack", "least", "beyond", "lacks"])
+
+
+def differences_index(diff: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pivot, doc, comp, hash, rest) of the hashes by which nodes of a pivot can be linked; rest is how many of a node's hashes beyond the pivot follow, -1 for a lack.
+
+    A node's hashes beyond the pivot stand in one order for all nodes of the
+    pivot: those of at most ``COMMON`` nodes by themselves, then the others from
+    the fewest nodes to the most. Two nodes that share ``least`` of them share
+    one among the first of each, all but the last least - 1.
+    """
+    each = diff.select("pivot", "doc", F.explode("beyond").alias("hash"))
+    often = scratch.table(each.groupBy("pivot", "hash").agg(F.count("*").alias("nodes")).where(F.col("nodes") > COMMON), "often")
+    last = each.join(often, ["pivot", "hash"]).groupBy("pivot", "doc").agg(F.sort_array(F.collect_list(F.struct("nodes", "hash")))["hash"].alias("last"))
+    ends = F.coalesce("last", F.array().cast("array<bigint>"))
+    ordered = diff.join(last, ["pivot", "doc"], "left").select("pivot", "doc", "comp", "least", F.concat(F.array_except("beyond", ends), ends).alias("order"))
+    size = F.size("order")
+    first = F.slice("order", F.lit(1), F.greatest(F.lit(0), size - F.greatest("least", F.lit(1)) + 1).cast("int"))
+    beyond = ordered.select("pivot", "doc", "comp", size.alias("size"), F.posexplode(first).alias("at", "hash")).select("pivot", "doc", "comp", "hash", (F.col("size") - F.col("at") - 1).alias("rest"))
+    lacks = diff.where("least <= 0 AND low < np").select("pivot", "doc", "comp", F.explode("lacks").alias("hash"), F.lit(-1).alias("rest"))
+    return beyond.unionByName(lacks)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
@@ -261,18 +285,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     pairs = scratch.table(pairs, "open")
     pairs = pairs.join(scratch.table(pairs.groupBy("b").agg(F.min("na").alias("low")), "low"), "b")
     pairs = pairs.join(side(sets, "a", ha="hashes"), "a").join(side(sets, "b", hb="hashes"), "b")
-    diff = pairs.mapInArrow(lambda b: _differences(b, percent), f"doc {kind}, pivot {kind}, n bigint, np bigint, lack bigint, diff array<bigint>, look array<bigint>")
-    diff = scratch.table(diff.join(comps, "doc"), "differences")
-    index = diff.select("pivot", "doc", "comp", F.explode("look").alias("hash"))
+    kinds = f"doc {kind}, pivot {kind}, n bigint, low bigint, np bigint, lack bigint, least bigint, beyond array<bigint>, lacks array<bigint>"
+    diff = scratch.table(pairs.mapInArrow(lambda b: _differences(b, percent), kinds).join(comps, "doc"), "differences")
+    index = scratch.table(differences_index(diff, scratch), "index")
     several = index.groupBy("pivot", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pivot", "hash")
-    index = index.select("pivot", "doc", "hash").join(scratch.table(several, "several"), ["pivot", "hash"]).join(diff.drop("look"), ["pivot", "doc"])
+    whole = diff.select("pivot", "doc", "n", "np", "lack", F.concat("beyond", "lacks").alias("diff"))
+    index = index.join(scratch.table(several, "several"), ["pivot", "hash"]).join(whole, ["pivot", "doc"])
     index = scratch.table(index, "shared")
-    x, y = (index.select("pivot", "hash", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n", "np", "lack", "diff"))) for s in "xy")
+    x, y = (index.select("pivot", "hash", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n", "np", "lack", "rest", "diff"))) for s in "xy")
+    linked = lambda meet: (100 + percent) * meet >= percent * (F.col("n_x") + F.col("n_y"))
     meet = F.col("np_x") - F.col("lack_x") - F.col("lack_y") + F.size(F.array_intersect("diff_x", "diff_y"))
-    near = 100 * meet >= percent * (F.col("n_x") + F.col("n_y") - meet)
+    most = F.col("np_x") - F.greatest("lack_x", "lack_y") + 1 + F.least("rest_x", "rest_y")
     apart = (F.col("doc_x") < F.col("doc_y")) & (F.col("comp_x") != F.col("comp_y"))
     may = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    pairs = x.join(y, (x["pivot"] == y["pivot"]) & (x["hash"] == y["hash"]) & apart & may & near)
+    pairs = x.join(y, (x["pivot"] == y["pivot"]) & (x["hash"] == y["hash"]) & apart & may & linked(most) & linked(meet))
     links = links.unionByName(scratch.table(pairs.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct(), "links"))
     comp = components(links, scratch).select(F.col("node").alias("rep"), "component")
 

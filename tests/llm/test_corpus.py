@@ -83,6 +83,44 @@ def test_groups_of_near_copies_against_all_pairs(spark, n, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_blocks_shared_beyond_the_pivot(spark):
+    """Two families of a common part and a block each; within a family few are linked, and the block alone links nothing."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(240):
+        own = [f"o{i - i % 12 if i % 12 < 3 else i}x{j}" for j in range(60)]
+        for k in rng.sample(range(60), i % 12 if i % 12 < 3 else 0):
+            own[k] = f"e{i}x{k}"
+        docs.append((i, " ".join([f"b{j}" for j in range(200)] + [f"k{i // 12 % 2}x{j}" for j in range(40)] + own)))
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == linked(docs, 3, 85)
+
+
+def test_prefixes_of_differences_hold_what_links_need(spark):
+    rng = random.Random(8)
+    block, n = list(range(10_000, 10_040)), 120
+    rows = []
+    for i in range(n):
+        beyond = sorted({*rng.sample(block, rng.choice([0, 36, 40])), *rng.sample(range(i // 10 * 50, i // 10 * 50 + 40), 30), *range(50_000 + 9 * i, 50_009 + 9 * i)})
+        rows.append((i % 2, i, i, 300, 290, 280, 5, 45 + i % 5, beyond, [70_000 + i % 7]))
+    rows.append((0, n, n, 270, 260, 280, 20, 0, [], [70_001, 70_002]))
+    kinds = "pivot long, doc long, comp long, n long, low long, np long, lack long, least long, beyond array<long>, lacks array<long>"
+    found = minhash.differences_index(spark.createDataFrame(rows, kinds), minhash.Scratch(spark, "prefixes")).collect()
+    held = {}
+    for r in found:
+        held.setdefault((r.pivot, r.doc), {})[r.hash] = r.rest
+    assert held[0, n] == {70_001: -1, 70_002: -1}
+    assert not any(set(block) & set(v) for v in held.values())  # 40 of them are fewer than any link needs
+    linkable = 0
+    for x, y in itertools.combinations(rows[:-1], 2):
+        shared = len({*x[8]} & {*y[8]})
+        if x[0] == y[0] and shared >= max(x[7], y[7]):
+            linkable += 1
+            p, q = held[x[0], x[1]], held[y[0], y[1]]
+            assert any(1 + min(p[h], q[h]) >= shared for h in set(p) & set(q))
+    assert linkable > 20
+
+
 def test_near_duplicate_edges(spark):
     docs = edge.documents(spark)
     got = minhash.near_duplicates(docs).collect()
