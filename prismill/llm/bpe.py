@@ -38,6 +38,8 @@ from prismill.llm import wordhash
 CACHED_WORDS = 25_000
 #: The same for the compact table that encoding of many texts uses: some 40 bytes a word with its ids.
 TABLE_WORDS = 1_500_000
+#: A worker remembers words of so many bytes from one task to the next.
+KEEP_BYTES = 32 << 20
 
 #: White space to Python's split() that the tokenizer files treat as symbols.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -166,7 +168,10 @@ class WordEncoder:
         return list(map(self._any, words))
 
     def forget(self) -> None:
-        """Let go of the words remembered."""
+        """Let go of the words remembered, if they take more than ``KEEP_BYTES``: less may stay for a worker's next task."""
+        held = self.table.n_bytes() + 200 * sum(len(m) + len(m.older) for m in (self.words, self.piece_ids))
+        if held <= KEEP_BYTES:
+            return
         self.words, self.table, self.piece_ids = _Memory(self._word, self.limit), _Table(), _Memory(self._merge, self.limit)
 
     def decode(self, ids: bytes | np.ndarray) -> str:
@@ -214,6 +219,9 @@ class _Table:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 12, "<u4"), 0
 
+    def n_bytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.checks, self.starts, self.sizes, self.ids))
+
     def places(self, data: bytes, keys: np.ndarray, checks: np.ndarray, first: np.ndarray, last: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of these different words are, and how many; words not seen before are encoded."""
         if len(self.keys) > TABLE_WORDS:
