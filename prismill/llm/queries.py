@@ -20,8 +20,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    return secret_scan.findings(load(spark, sf_dir, "documents"), forest)
+    docs = load(spark, sf_dir, "documents")
+    return secret_scan.findings(docs, **secret_scan.learned(docs))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

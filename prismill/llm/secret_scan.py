@@ -2,12 +2,14 @@
 
 Candidates are long runs of letters, digits and signs, quoted strings, values of
 eight or more characters after a name with ":" or "=", and what stands between
-a user's name and "@" in an address. An unquoted value ends at white space, a
+a user's name and "@" in an address, what a password or token is said to be, and
+private keys with their first and last line. An unquoted value ends at white space, a
 quote or angle bracket, before the next "&name=" and before punctuation at its
 end; one that is a URL or has a name and value of its own is looked at inside.
 The forest looks at a candidate's length, the transitions between its characters,
 how much of it dictionary words cover, the path it comes from and the words
-around it. It is trained from labelled findings, given as a table or made by
+around it. The dictionary is learned: the words that most documents of the corpus
+have (``dictionary``), beside common words and endings looked for inside words. It is trained from labelled findings, given as a table or made by
 ``labelled_findings``, and then written as one column expression, so a scan is
 a single pass of column functions over the texts: no shuffle, no Python.
 
@@ -17,6 +19,8 @@ Defined results
 - repeated rows and null ids give findings of their own
 - columns of the input are kept by ``redacted``; ``findings`` has only its own
 - an empty table gives an empty table; labelled findings of one class only are an error
+- a corpus without words has an empty dictionary, which covers nothing; of words of equal frequency the first by letters are in it
+- a private key without its last line is looked at line by line
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from prismill.llm import spotting
 #: An unquoted value's characters: punctuation only where more follows, and signs that part values not before a name.
 _LAST = r"""[,;.:)\]}&?|]{0,8}(?:[\s"'<>]|$)"""
 _VALUE = rf"""(?:[^\s"'<>,;.:)\]}}&?|]|[.:)\]}}](?!{_LAST})|[,;&?|](?!{_LAST}|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=])){{8,}}+"""
-#: Candidates: quoted strings without spaces, passwords before a host, values after a name, web tokens with their dots, and runs of what keys are made of.
+#: Candidates: private keys, quoted strings without spaces, passwords before a host, values after a name or "is", web tokens with their dots, and runs of what keys are made of.
 CANDIDATE = (
-    r"""(?<=["'])[^\s"']{8,}(?=["'])"""
+    r"""(?<!-)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{0,8}[A-Za-z][A-Za-z0-9\-]{1,31}: [^\n\r]{0,256}){0,16}[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"""
+    r"""|(?<=["'])[^\s"']{8,}(?=["'])"""
     r"""|(?<=[A-Za-z0-9_.\-]:)(?<!(?i:pass|passwd|password|passphrase|pwd|secret|token|key):)[^\s:@/"'<>]{8,}+(?=@[A-Za-z0-9\[])"""
     rf"""|(?<=[:=>\s])(?<=[A-Za-z0-9_)\]"'\-][ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}})(?![=:>\s]|//|[A-Za-z][A-Za-z0-9+.\-]{{0,20}}://|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=][^\s"'<>]{{8}}){_VALUE}"""
+    rf"""|(?<=(?i:pass|passwd|password|passwort|passphrase|pwd|passcode|secret|token|key) (?i:is|ist|was) ){_VALUE}"""
     r"""|(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{4,}+){1,2}"""
     r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
 )
@@ -43,6 +49,12 @@ BEFORE, AFTER, NEAR = 64, 32, 28
 LEAST = 8
 TREES, DEPTH, SEED = 20, 6, 11
 LABELLED = 6000
+#: The dictionary has so many words at most.
+WORDS = 1000
+#: What counts as a word of the dictionary, in lower case.
+WORD = r"(?<![\p{L}\p{M}0-9_])\p{L}{3,20}(?![\p{L}\p{M}0-9_])"
+#: The words a name or value is made of, as in customerName, CUSTOMER_NAME or customer-name.
+PIECE = r"\p{Lu}?\p{Ll}+|\p{Lu}+(?!\p{Ll})|\p{L}+"
 
 #: Fixed: pairs of letters that are common in prose of Western European languages.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie sc un qu ue ai eu".split()
@@ -58,11 +70,22 @@ TEST_PATHS = r"(?i)test|example|sample|mock|fixture|docs?/|readme|vendor|node_mo
 CONFIG_PATHS = r"(?i)\.env|config|settings|secret|credential|\.pem|\.ya?ml|\.ini|\.tf"
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
-    """Numbers that the forest looks at, each a column expression."""
+def dictionary(docs: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
+    """The words that stand in the most documents: all texts are counted, a bounded list of words comes back."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
+    n = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in n.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def features(value: Column, before: Column, after: Column, path: Column, words: list[str] | None = None) -> dict[str, Column]:
+    """Numbers that the forest looks at, each a column expression; with a learned dictionary also how much of the value its words cover."""
     n = F.length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double") / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    known = {}
+    if words:
+        pieces = F.filter(F.regexp_extract_all(value, F.lit(PIECE), F.lit(0)), lambda p: F.lower(p).isin(words))
+        known = {"words": F.length(F.array_join(pieces, "")).cast("double") / n}
     uncovered = F.length(F.regexp_replace(F.lower(value), "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)), ""))
     return {
         "length": n,
@@ -77,7 +100,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "repeats": share(r"(?=(.)\1)"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / n,
         "covered": 1 - uncovered / n,
-        "known_form": flag(value.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|sk-|xox[abprs]-|AIza|eyJ)")),
+        **known,
+        "known_form": flag(value.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|-----BEGIN )")),
         "secret_word": flag(F.right(before, F.lit(NEAR)).rlike(SECRET_WORDS)),
         "harmless_word": flag(F.right(before, F.lit(NEAR)).rlike(HARMLESS_WORDS)),
         "assigned": flag(before.rlike(r"""[=:]\s*["']?$""")),
@@ -88,15 +112,21 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = LABELLED, words: list[str] | None = None) -> DataFrame:
     """Findings (value, before, after, path, label) made from a rule: half are secrets, half look like some.
 
-    Every value follows from its number by a digest, so the table is the same each time.
+    Every value follows from its number by a digest, so the table is the same each time. With a dictionary
+    two thirds of the values that have words in them are made of its words, the others of syllables.
     """
     d = spotting.once(spark.range(0, n, 1, 1), F.col("id"), F.sha2(F.concat(F.lit("finding-"), F.col("id").cast("string")), 512).alias("h"))
+    own = lambda i: F.pmod(F.xxhash64("h", F.lit("word"), i), F.lit(len(words))).cast("int") + 1
+    mine = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.element_at(F.array(*map(F.lit, words)), own(i))) if words else F.array().cast("array<string>")
+    d = spotting.once(d, F.col("id"), F.col("h"), mine.alias("mine"))
     h, pick = F.col("h"), lambda k, *options: F.element_at(F.array(*(F.lit(o) for o in options)), F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(options))).cast("int") + 1)
     b64 = F.translate(F.base64(F.unhex(h)), "\r\n", "")
-    some = lambda k, size: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: pick_at(k, i)), "")
+    worded = (F.size("mine") > 0) & (F.pmod(F.xxhash64("h", F.lit("worded")), F.lit(3)) > 0)
+    syllabic = lambda k, size: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: pick_at(k, i)), "")
+    some = lambda k, size: F.when(worded, F.array_join(F.slice("mine", k % 13 + 1, (size + 1) // 3 or 1), "")).otherwise(syllabic(k, size))
     syllables = "th er an ti en lich keit ung tion ment eau re ci ado mente os che be in st ou".split()
 
     def pick_at(k: int, i: Column) -> Column:
@@ -109,6 +139,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64, "+/=abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(b64, "+/=", "aZ0"), 1, 36)),
         F.concat(F.lit("sk_live_"), F.substring(F.translate(b64, "+/=", "aZ0"), 5, 24)), F.concat(some(7, 2), F.substring(h, 1, 4), F.lit("!"), F.upper(some(8, 1))),
         F.concat(F.initcap(some(7, 2)), digits(51, 2), some(8, 2), digits(52, 1)), F.concat(F.initcap(some(7, 1)), digits(51, 1), some(8, 2), pick(53, "", "!", "@", "$", ".", "#"), some(12, 1), digits(52, 3)),
+        F.concat(F.lit("-----BEGIN "), pick(70, "RSA ", "EC ", "OPENSSH ", ""), F.lit("PRIVATE KEY-----\n"), F.repeat(F.concat(b64, F.lit("\n")), pick(71, 2, 9, 18)), F.lit("-----END "), pick(70, "RSA ", "EC ", "OPENSSH ", ""), F.lit("PRIVATE KEY-----")),
         F.concat(F.lit("eyJ"), F.translate(F.substring(b64, 1, 20), "+/=", "-_A"), F.lit("."), F.translate(F.substring(b64, 21, 40), "+/=", "-_A"), pick(59, "", ".sig-", "._x"), F.translate(F.substring(b64, 60, 24), "+/=", "-_A")),
     ]
     harmless = [
@@ -128,19 +159,19 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     secret = F.col("id") % 2 == 0
     kind = F.pmod(F.xxhash64("h", F.lit(22)), F.lit(len(harmless)))
     words = F.concat(some(9, 3), F.lit(" "), some(10, 2), F.lit(" "))
-    # A secret that tells itself by its form may stand without a telling word, a name or a word may stand after one.
-    telling = pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "', "GITHUB_TOKEN=", '"private_key_value": "')
+    # Half of the passwords stand in addresses. A secret that tells itself by its form may stand without a telling word, a name or a word may stand after one.
+    telling = pick(31, 'token = "', "password: ", 'api_key="', "SECRET=", "Authorization: Bearer ", "access_key = '", 'TOKEN = "', "auth ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "', "GITHUB_TOKEN=", '"private_key_value": "', "password is ", "the token is ")
     plain, form = pick(35, 'value = "', "X_VALUE=", "use ", '"id": "', " ", "("), F.pmod(F.xxhash64("h", F.lit(21)), F.lit(len(secrets)))
     seldom = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(4)) == 0
-    named, address = ~secret & seldom(61), secret & form.between(8, 10) & seldom(62)
+    named, address = ~secret & seldom(61), secret & form.between(8, 10) & (F.pmod(F.xxhash64("h", F.lit(62)), F.lit(2)) == 0)
     contact = named & seldom(63)
     near = F.when(address, pick(64, "postgres://user:", "https://admin:", "root:", "user:", "mysql://app:")).when(contact, pick(65, "mailto:", "contact:", "mail:", "write to:")).when(
-        named, pick(66, "note: ", "name: ", "type=", "see also: ", "path = ", "date: ", "n = ", "self.value = ", "return: ", "password: ", "token = ", "secret: ", "id=", "export ", "export ", "\n", " ")
-    ).when(secret & (form.between(4, 7) | (form == 11)) & seldom(36), plain).when(secret, telling).when(
+        named, pick(66, "note: ", "name: ", "type=", "see also: ", "path = ", "date: ", "n = ", "self.value = ", "return: ", "password: ", "password is ", "the key was ", "token = ", "secret: ", "id=", "export ", "export ", "\n", " ")
+    ).when(secret & (form.between(4, 7) | (form >= 11)) & seldom(36), plain).when(secret, telling).when(
         kind >= 10, pick(32, "commit ", "sha256: ", "checksum ", "md5 ", "version ", "uuid: ", 'etag="', "revision ")
     ).when(seldom(37), pick(38, "password: ", "SECRET=", 'token = "', '"client_secret": "', "auth ", "API_KEY=x ", "secret in ")).otherwise(pick(33, " ", " ", ". ", "| ", '"', "see ", "file ", "("))
     value = F.when(secret, choose(21, secrets)).when(contact, F.concat(some(1, 2), pick(68, "", ".", "_"), some(2, 2))).when(named, choose(69, ordinary)).otherwise(choose(22, harmless))
-    d = spotting.once(d, F.col("id"), F.col("h"), value.alias("value"), near.alias("near"), (address | contact).alias("mailed"))
+    d = spotting.once(d, F.col("id"), F.col("h"), F.col("mine"), value.alias("value"), near.alias("near"), (address | contact).alias("mailed"))
     near = F.col("near")
     after = F.when(F.col("mailed"), F.concat(F.lit("@"), some(13, 2), pick(67, "/db ", ".org ", ":80/ "))).when(near.rlike("\"$"), F.lit('" ')).when(near.rlike("'$"), F.lit("' ")).otherwise(pick(34, " ", ", ", ". ", "\n"))
     return spotting.once(
@@ -149,12 +180,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     )
 
 
-def fitted(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+def fitted(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, words: list[str] | None = None):
     """Spark ML's forest over the features of labelled findings (value, before, after, path, label), and the features' names."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
+    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")), words)
     d = labelled.where("value IS NOT NULL AND label IS NOT NULL").select(*(c.alias(k) for k, c in made.items()), F.col("label").cast("double").alias("label"))
     d = VectorAssembler(inputCols=list(made), outputCol="features").transform(d).select("features", "label").coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(d)
@@ -163,9 +194,15 @@ def fitted(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: in
     return model, list(made)
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """Trees as nested lists: [feature, threshold, left, right] or the share of secrets in a leaf."""
-    return read(*fitted(labelled, trees, depth, seed))
+def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, words: list[str] | None = None) -> list:
+    """Trees as nested lists: [feature, threshold, left, right] or the share of secrets in a leaf. A scan with them wants the same dictionary."""
+    return read(*fitted(labelled, trees, depth, seed, words))
+
+
+def learned(docs: DataFrame, text: str = "text") -> dict:
+    """A corpus' own dictionary and a forest that was trained with it, as ``findings`` and ``redacted`` take them."""
+    words = dictionary(docs, text)
+    return {"forest": train(labelled_findings(docs.sparkSession, words=words), words=words), "words": words}
 
 
 def read(model, names: list[str]) -> list:
@@ -193,7 +230,7 @@ def probability(forest: list, of: Column) -> Column:
     return total / len(forest)
 
 
-def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source") -> DataFrame:
+def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source", words: list[str] | None = None) -> DataFrame:
     """Each row as one struct, with gaps, hits and found: of every candidate its value, number and probability."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -211,7 +248,7 @@ def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None =
         return F.struct(h.alias("value"), i.alias("i"), before.alias("before"), after.alias("after"))
 
     def looked_at(s: Column) -> Column:
-        return F.struct(s["value"].alias("value"), s["i"].alias("i"), *(c.alias(k) for k, c in features(s["value"], s["before"], s["after"], F.col("where")).items()))
+        return F.struct(s["value"].alias("value"), s["i"].alias("i"), *(c.alias(k) for k, c in features(s["value"], s["before"], s["after"], F.col("where"), words).items()))
 
     d = spotting.once(d, F.col("row"), F.col("gaps"), F.col("hits"), F.col("where"), F.transform("hits", around).alias("around"))
     looks = F.transform("around", looked_at)
@@ -221,14 +258,14 @@ def judged(docs: DataFrame, forest: list, text: str = "text", path: str | None =
 
 def kind(value: Column) -> Column:
     out = F.lit("other")
-    for name, form in {"base64": r"^[A-Za-z0-9+/_\-]{20,}={0,2}$", "hex": "^[0-9a-fA-F]{16,}$", "jwt": "^eyJ", "google": "^AIza", "slack": "^xox", "stripe": "^sk_live_", "github": "^gh[pos]_|^github_pat_", "aws": "^A[KS]IA[0-9A-Z]{12,}$"}.items():
+    for name, form in {"base64": r"^[A-Za-z0-9+/_\-]{20,}={0,2}$", "hex": "^[0-9a-fA-F]{16,}$", "jwt": "^eyJ", "google": "^AIza", "slack": "^xox", "stripe": "^sk_live_", "github": "^gh[pos]_|^github_pat_", "aws": "^A[KS]IA[0-9A-Z]{12,}$", "pem": "^-----BEGIN "}.items():
         out = F.when(value.rlike(form), F.lit(name)).otherwise(out)
     return out
 
 
-def findings(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
+def findings(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "text", path: str | None = "source", least: float = 0.5, words: list[str] | None = None) -> DataFrame:
     """One row per secret: key, start, n_chars, kind, value_sha256 and probability. The secret itself isn't returned."""
-    d = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(path).alias("path")] if path else [])), forest, "text", "path" if path else None)
+    d = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(path).alias("path")] if path else [])), forest, "text", "path" if path else None, words)
     sure = lambda s: s["p"] >= least
     d = spotting.once(d.where(F.exists("found", sure)), F.col("row.key").alias("key"), spotting.starts(F.col("gaps"), F.col("hits")).alias("starts"), F.filter("found", sure).alias("found"))
     d = d.select("key", "starts", F.explode("found").alias("s"))
@@ -239,9 +276,9 @@ def findings(docs: DataFrame, forest: list, key: str = "doc_id", text: str = "te
     )
 
 
-def redacted(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source", least: float = 0.5, mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source", least: float = 0.5, mark: str = "[secret]", words: list[str] | None = None) -> DataFrame:
     """The same rows and columns with each secret replaced; texts without secrets are as they were."""
-    d = judged(docs, forest, text, path)
+    d = judged(docs, forest, text, path, words)
     sure = F.exists("found", lambda s: s["p"] >= least)
     clean = spotting.woven(F.col("gaps"), F.transform("found", lambda s: F.when(s["p"] >= least, F.lit(mark)).otherwise(s["value"])))
     new = F.when(sure, clean).otherwise(F.col(f"row.`{text}`"))
