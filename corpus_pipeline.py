@@ -49,8 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; every document stays."""
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    clean = secret_scan.redacted(docs, forest)
+    clean = secret_scan.redacted(docs, **secret_scan.learned(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
