@@ -35,11 +35,11 @@ _LAST = r"""[,;.:)\]}&?|]{0,8}(?:[\s"'<>]|$)"""
 _VALUE = rf"""(?:[^\s"'<>,;.:)\]}}&?|]|[.:)\]}}](?!{_LAST})|[,;&?|](?!{_LAST}|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=])){{8,}}+"""
 #: Candidates: private keys, quoted strings without spaces, passwords before a host, values after a name or "is", web tokens with their dots, and runs of what keys are made of.
 CANDIDATE = (
-    r"""(?<!-)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{0,8}[A-Za-z][A-Za-z0-9\-]{1,31}: [^\n\r]{0,256}){0,16}[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"""
+    r"""-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{0,8}[A-Za-z][A-Za-z0-9\-]{1,31}: [^\n\r]{0,256}){0,16}[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"""
     r"""|(?<=["'])[^\s"']{8,}(?=["'])"""
     r"""|(?<=[A-Za-z0-9_.\-]:)(?<!(?i:pass|passwd|password|passphrase|pwd|secret|token|key):)[^\s:@/"'<>]{8,}+(?=@[A-Za-z0-9\[])"""
     rf"""|(?<=[:=>\s])(?<=[A-Za-z0-9_)\]"'\-][ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}})(?![=:>\s]|//|[A-Za-z][A-Za-z0-9+.\-]{{0,20}}://|[A-Za-z_][A-Za-z0-9_.\-]{{0,63}}[:=][^\s"'<>]{{8}}){_VALUE}"""
-    rf"""|(?<=(?i:pass|passwd|password|passwort|passphrase|pwd|passcode|secret|token|key) (?i:is|ist|was) ){_VALUE}"""
+    rf"""|(?<=[st][ ])(?<=[ ](?i:is|ist|was)[ ])(?<=(?i:pass|passwd|password|passwort|passphrase|pwd|passcode|secret|token|key) (?i:is|ist|was) ){_VALUE}"""
     r"""|(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{4,}+){1,2}"""
     r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"""
 )
