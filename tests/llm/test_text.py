@@ -43,6 +43,16 @@ def test_texts_encoded_together_equal_the_library(texts):
     assert [x.tolist() for x in bpe.library(SPEC).encode_all(texts)] == want
 
 
+def test_words_stay_with_a_worker_up_to_a_limit(monkeypatch):
+    code = bpe.WordEncoder(bpe.read_spec(queries.tokenizer_path()))
+    want = [x.tolist() for x in code.encode_all(["some words of a text", None, "other words"])]
+    code.forget()
+    assert len(code.table.keys) > 0
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 100)
+    code.forget()
+    assert len(code.table.keys) == 0 and [x.tolist() for x in code.encode_all(["some words of a text", None, "other words"])] == want
+
+
 def test_special_tokens_in_texts():
     for text in ("<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "it's <| endoftext|>"):
         assert np.frombuffer(OWN.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
