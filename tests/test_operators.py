@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismill.operators import joins, prefix, quantiles, recursion
+from prismill.sources.scratch import Scratch
 
 
 def test_asof_join_against_brute_force(spark):
@@ -137,3 +138,15 @@ def test_running_totals_and_ranks_without_a_partition(spark, ranges):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert prefix.running(d.limit(0), ["k"], ["id"], "v", ranges).count() == 0
+
+
+def test_what_reachable_writes_has_a_row_for_each_group_of_sources(spark, monkeypatch):
+    written, plain = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (written.append((name, plain(self, df, name))), written[-1][1])[1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, table: None, raising=False)
+    n = 130
+    starts = spark.range(n).select("id", F.lit(0).cast("long").alias("node")).toDF("source", "node").coalesce(1)
+    links = spark.range(40).selectExpr("id AS a", "(id + 1) % 40 AS b")
+    got = recursion.reachable(starts, links)
+    assert got.count() == n * 40 and got.where("depth <> node").count() == 0
+    assert max(t.count() for name, t in written if name not in ("starts", "sources")) <= 40 * (n // 64 + 4 + 1)  # four partitions at most
