@@ -109,3 +109,76 @@ def test_sessions_by_timers_with_events_out_of_order(spark, tmp_path):
     minute = lambda t: int(t.timestamp() - 1704067200) // 60
     got = sorted((r.user_id, minute(r.start), minute(r.end), r.n) for r in out.collect())
     assert got == [(1, 0, 239, 4), (1, 299, 420, 2), (1, 421, 541, 1), (2, 5, 125, 1), (3, 0, 240, 3), (3, 500, 620, 1), (3, 1000, 1120, 1)]
+
+
+class Handle:
+    """State of one bucket, without Spark."""
+
+    def __init__(self):
+        self.kept, self.timers = {}, set()
+
+    def getListState(self, name, shape):  # noqa: N802
+        return State(self.kept, name)
+
+    getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def exists(self):
+        return self.name in self.kept
+
+    def get(self):
+        return self.kept[self.name]
+
+    def update(self, value):
+        self.kept[self.name] = value
+
+    put = update
+
+    def appendValue(self, value):  # noqa: N802
+        self.kept.setdefault(self.name, []).append(value)
+
+    def clear(self):
+        self.kept.pop(self.name, None)
+
+
+def test_one_state_holds_the_sessions_of_many_users():
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng, gap = random.Random(4), 100
+    users = [None, 0, -1, *range(5, 40)]
+    seen = sorted({(rng.randrange(3000) * 1000 + rng.randrange(1000), rng.randrange(len(users))) for _ in range(1500)})
+    handle, got = Handle(), []
+    p = keyed.Sessions(gap)
+    p.init(handle)
+    for low in range(0, 5000, 400):  # batches, and out of order in each; the watermark is 700 behind
+        part = [(t, users[u]) for t, u in seen if low <= t // 1000 < low + 400]
+        rng.shuffle(part)
+        frame = pd.DataFrame({"none": [u is None for _, u in part], "user_id": pd.array([u or 0 for _, u in part], "int64"), "at": pd.array([t for t, _ in part], "int64")})
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda low=low: low - 700)
+        list(p.handleInputRows((1,), iter([frame]), mark))
+        for at in [t for t in handle.timers if t <= low - 700]:
+            handle.timers.remove(at)
+            for f in p.handleExpiredTimer((1,), mark, None):
+                got += [tuple(None if pd.isna(x) else int(x) for x in r) for r in f.itertuples(index=False)]
+        assert len(handle.timers) <= 1
+    want = []
+    for u, name in enumerate(users):
+        times = [t for t, v in seen if v == u]
+        for i, t in enumerate(times):
+            if i == 0 or t - times[i - 1] >= gap * 1000:
+                want.append([name, t, t, 0])
+            want[-1][2:] = [t, want[-1][3] + 1]
+    assert sorted(map(str, got)) == sorted(str(tuple(w)) for w in want) and not handle.timers and not handle.kept
