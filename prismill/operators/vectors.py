@@ -38,6 +38,8 @@ from prismill.sources.scratch import Scratch
 #: Nodes that cells' means are made from, rounds of that, and cells at most (their means go to every task); below that as many as the root of the nodes.
 SAMPLE, ROUNDS, MOST_CELLS = 20_000, 10, 4096
 BLOCK, PART = 8192, 2048
+#: Numbers that a task holds at once when rows meet means, or as pairs with vectors that it gives out.
+HELD = 1 << 20
 #: Queries that the number of probes is fitted on.
 TRIED = 256
 DIGITS = 9
@@ -101,8 +103,7 @@ def build(rows: DataFrame, key: str, vector: str, size: int, best: int = 10, cel
     def placed(batches):
         for b in batches:
             x = matrix(b.column("v"), size)
-            far = (mean**2).sum(1) - 2 * x @ mean.T
-            own = far.argmin(1)
+            own = np.concatenate([_far(x[r], mean).argmin(1) for r in _slices(len(x), len(mean))] or [np.zeros(0, int)])
             gap = np.sqrt(((x - mean[own]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(gap), *(b.column(c) for c in ("node", "ids", "v"))], names=["cell", "gap", "node", "ids", "v"])
 
@@ -111,6 +112,24 @@ def build(rows: DataFrame, key: str, vector: str, size: int, best: int = 10, cel
     return Cells(mean, kept.drop("gap"), sizes, size, best + 1, scratch)
 
 
+def _far(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Squared distances from the means, less what is the same for all of them."""
+    return (mean**2).sum(1) - 2 * x @ mean.T
+
+
+def _slices(rows: int, width: int) -> list[slice]:
+    """Stretches of rows of so many numbers each that hold ``HELD`` numbers at most, or one row."""
+    step = max(1, HELD // max(1, width))
+    return [slice(i, min(rows, i + step)) for i in range(0, rows, step)]
+
+
+def _pairs(b: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, size: int):
+    """Pairs (q, v, cell) of a batch's rows and cells, in batches that are bounded however many cells a row has."""
+    for r in _slices(len(row), size):
+        at = pa.array(row[r])
+        yield pa.RecordBatch.from_arrays([b.column("q").take(at), b.column("v").take(at), pa.array(cell[r])], names=["q", "v", "cell"])
+
+
 def _probes(index: Cells, queries: DataFrame, probes: int, kind: str) -> DataFrame:
     """(q, v, cell) of each query's nearest cells; cells that hold nothing don't count."""
     live = sorted(r.cell for r in index.cells.select("cell").collect())  # MOST_CELLS numbers
@@ -119,11 +138,10 @@ def _probes(index: Cells, queries: DataFrame, probes: int, kind: str) -> DataFra
     def run(batches):
         for b in batches:
             x = matrix(b.column("v"), size)
-            far = (mean**2).sum(1) - 2 * x @ mean.T
             k = min(probes, len(live))
-            near = np.argpartition(far, k - 1, 1)[:, :k] if k else np.zeros((len(x), 0), int)
-            row = np.repeat(np.arange(len(x)), k)
-            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(live[near.ravel()])], names=["q", "v", "cell"])
+            for r in _slices(len(x), len(live)):
+                near = np.argpartition(_far(x[r], mean), k - 1, 1)[:, :k] if k else np.zeros((r.stop - r.start, 0), int)
+                yield from _pairs(b, np.repeat(np.arange(r.start, r.stop), k), live[near.ravel()], size)
 
     return queries.select("q", "v").mapInArrow(run, f"q {kind}, v array<double>, cell int")
 
@@ -137,9 +155,10 @@ def _within(index: Cells, bounded: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         for b in batches:
             x, far = matrix(b.column("v"), size), b.column("far").to_numpy()
-            gap = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (mean**2).sum(1) - 2 * x @ mean.T))
-            row, cell = np.nonzero(gap - radius <= far[:, None] + 1e-6)
-            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(live[cell])], names=["q", "v", "cell"])
+            for r in _slices(len(x), len(live)):
+                gap = np.sqrt(np.maximum(0, (x[r] ** 2).sum(1)[:, None] + _far(x[r], mean)))
+                row, cell = np.nonzero(gap - radius <= far[r, None] + 1e-6)
+                yield from _pairs(b, row + r.start, live[cell], size)
 
     return bounded.select("q", "v", "far").mapInArrow(run, f"q {kind}, v array<double>, cell int")
 

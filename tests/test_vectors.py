@@ -70,3 +70,36 @@ def test_empty_tables_and_too_few_rows(spark):
     assert vectors.probes_for(index, d.limit(0), "id", "v", best=3) == 1
     with pytest.raises(ValueError):
         vectors.nearest(index, d, "id", "v", best=4)
+
+
+def test_no_batch_of_pairs_grows_with_the_cells(monkeypatch):
+    import pyarrow as pa
+
+    class Frame:  # holds what would run in a task
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, shape):  # noqa: N802
+            return run
+
+    class Live:
+        def select(self, *columns):
+            return self
+
+        def collect(self):
+            from pyspark.sql import Row
+
+            return [Row(cell=i, radius=4.0) for i in range(300)]
+
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(vectors, "HELD", 2000, raising=False)
+    index = vectors.Cells(rng.standard_normal((300, 8)), None, Live(), 8, 11, None)
+    x = rng.standard_normal((50, 8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x.tolist()), pa.array([9.0] * 50)], names=["q", "v", "far"])
+    for run, n in ((vectors._within(index, Frame(), "bigint"), 300), (vectors._probes(index, Frame(), 40, "bigint"), 40)):
+        out = list(run([b]))
+        assert max(o.num_rows for o in out) <= 2000 // 8 and sum(o.num_rows for o in out) == 50 * n
+        pairs = {(q, c): v for o in out for q, v, c in zip(*(o.column(k).to_pylist() for k in ("q", "v", "cell")))}
+        assert len(pairs) == 50 * n and all(v == x[q].tolist() for (q, _), v in pairs.items())
+    far = ((x[:, None] - index.mean[None]) ** 2).sum(2)
+    assert set(pairs) == {(q, int(c)) for q in range(50) for c in np.argsort(far[q])[:40]}
