@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from prismill.plans.relational import query, table
 
+#: Events of a bucket of users, about.
+BUCKET_ROWS = 4096
+
 
 @query("SELECT o_orderkey, round(o_totalprice * 1.1, 4) AS gross FROM orders")
 def udf_scalar(spark, d):
@@ -75,13 +78,21 @@ def udf_table(spark, d):
 SELECT c.event_id, p.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'view') c
 ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts""")
 def udf_cogroup(spark, d):
-    """A user's events of two kinds in two frames; users are many and small. ``join_asof`` does the same for users of any size."""
+    """Events of two kinds in two frames for each bucket of users: a frame for each user costs more than its few events do. ``join_asof`` does the same for users of any size."""
 
     def latest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("ts"), b.sort_values("ts")
-        out = pd.merge_asof(a[["ts", "event_id"]], b[["ts", "value"]], on="ts") if len(a) else a.assign(value=None)
-        return out[["event_id", "value"]].rename(columns={"value": "last_value"})
-
-    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", "event_type")
-    views, buys = (e.where(F.col("event_type") == k).groupBy("user_id") for k in ("view", "purchase"))
+        if not len(a):
+            return pd.DataFrame({"event_id": a["event_id"], "last_value": a["value"]})
+        # Nothing was bought by no one or at no time.
+        known = a["user_id"].notna() & a["ts"].notna()
+        b = b[b["user_id"].notna() & b["ts"].notna()].astype({"user_id": "int64"})
+        c = a.loc[known, ["ts", "user_id", "event_id"]].astype({"user_id": "int64"})
+        out = pd.merge_asof(c.sort_values("ts", kind="stable"), b[["ts", "user_id", "value"]].sort_values("ts", kind="stable"), on="ts", by="user_id")
+        alone = a.loc[~known, ["event_id"]].assign(value=float("nan"))
+        return pd.concat([out[["event_id", "value"]], alone]).rename(columns={"value": "last_value"})
+
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", "event_type").where("event_type IN ('view', 'purchase')")
+    buckets = max(1, -(-e.count() // BUCKET_ROWS))
+    e = e.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
+    views, buys = (e.where(F.col("event_type") == k).groupBy("bucket") for k in ("view", "purchase"))
     return views.cogroup(buys).applyInPandas(latest, "event_id long, last_value double")
