@@ -11,6 +11,10 @@ from prismill.sources.scratch import Scratch
 from prismill.streaming import events, keyed, replay
 
 
+#: Partitions of a replayed stream's state, at least.
+LEAST = 12
+
+
 def drained(df: DataFrame, mode: str, progress: list | None = None, **settings: str) -> DataFrame:
     """All rows that a stream gives until its input is read; of complete results the last one, of updates each. ``progress`` gets what Spark says of each batch."""
     spark = df.sparkSession
@@ -34,11 +38,22 @@ def drained(df: DataFrame, mode: str, progress: list | None = None, **settings:
     return spark.read.schema(df.schema).parquet(f"{at}/rows").select(*df.columns)
 
 
+def _replayed(spark, d, *close: str) -> tuple[DataFrame, dict[str, str]]:
+    """As ``replayed``, and the settings that the stream is drained with.
+
+    Each partition of the state costs every batch some files, whatever it holds, so there are as many as the steps have
+    files: their number follows the rows and not the session, and what one of them holds stays the same.
+    """
+    at = Scratch(spark, "replay").folder("events")
+    whole = table(spark, d, "events")
+    files = replay.files(whole)
+    replay.write(whole, at, files, close=list(close))
+    return events.stream(spark, at, "*.parquet", files), {"spark.sql.shuffle.partitions": str(max(LEAST, files))}
+
+
 def replayed(spark, d, *close: str) -> DataFrame:
     """The events as a stream in the order of their arrival, a step in each batch."""
-    at = Scratch(spark, "replay").folder("events")
-    replay.write(table(spark, d, "events"), at, close=list(close))
-    return events.stream(spark, at, "*.parquet")
+    return _replayed(spark, d, *close)[0]
 
 
 def _events(spark, d):
@@ -88,16 +103,17 @@ WHERE seen IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > seen - INTERVAL 1
 GROUP BY ALL HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_late(spark, d):
     """Windows of events that arrive late and out of order: each goes out once, and rows of windows behind the watermark are dropped."""
-    return drained(events.tumbling(replayed(spark, d), "1 day", late="1 day"), "append")
+    e, sized = _replayed(spark, d)
+    return drained(events.tumbling(e, "1 day", late="1 day"), "append", **sized)
 
 
 @query(replay.ORACLE + """
 SELECT event_id, user_id, event_type, value FROM r WHERE seen IS NULL OR ts > seen - INTERVAL 1 DAY""")
 def stream_late_deduplicated(spark, d):
     """Every event arrives twice, the second time a batch or more later for some; those behind the watermark are dropped."""
-    e = replayed(spark, d)
+    e, sized = _replayed(spark, d)
     twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return drained(events.deduplicated(twice, late="1 day"), "append").select("event_id", "user_id", "event_type", "value")
+    return drained(events.deduplicated(twice, late="1 day"), "append", **sized).select("event_id", "user_id", "event_type", "value")
 
 
 @query("""
@@ -105,13 +121,14 @@ SELECT a.event_id AS first_id, b.event_id AS second_id FROM (SELECT * FROM event
 LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""")
 def stream_left_join(spark, d):
     """Views and what followed them, out of order and nothing of it late; views that nothing followed go out when the watermark passes."""
-    e = replayed(spark, d, "view", "purchase")
-    out = drained(events.followed_or_not(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "6 HOURS", late="10 days"), "append")
+    e, sized = _replayed(spark, d, "view", "purchase")
+    out = drained(events.followed_or_not(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "6 HOURS", late="10 days"), "append", **sized)
     return out.where(F.col("a") != replay.CLOSING).select(F.col("a").alias("first_id"), F.col("b").alias("second_id"))
 
 
 @query(relational.ORACLES["window_session"])
 def stream_session_timers(spark, d):
     """Sessions by timers of one's own state, from events that arrive out of order."""
-    out = drained(keyed.sessions(replayed(spark, d, "view"), 2 * 3600 * 1000, late="10 days"), "append", **keyed.STORE)
+    e, sized = _replayed(spark, d, "view")
+    out = drained(keyed.sessions(e, 2 * 3600 * 1000, late="10 days"), "append", **keyed.STORE, **sized)
     return out.where(F.col("user_id") != -1)

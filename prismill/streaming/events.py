@@ -41,18 +41,30 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def _pairs(first: DataFrame, second: DataFrame, within: str, late: str, how: str) -> DataFrame:
+    """Pairs of a user's events, the second at most ``within`` after the first.
+
+    State is kept by user and stretch of time: an event of the first stream stands in its own
+    stretch, one of the second in its own and the one before. A stretch is twice as long as
+    ``within``, also where clocks are changed, so each pair meets once, and an event is compared with those of
+    two stretches, however many events the user has.
+    """
+    start = "TIMESTAMP '1970-01-01 00:00:00Z'"
+    width = F.expr(f"2 * (unix_micros({start} + INTERVAL {within}) - unix_micros({start})) + 1")
+    stretch = F.floor(F.unix_micros("ts") / width)
+    a = first.withWatermark("ts", late).select(F.col("user_id").alias("user"), stretch.alias("stretch_a"), F.col("ts").alias("ts_a"), F.col("event_id").alias("a"))
+    b = second.withWatermark("ts", late).select("user_id", F.explode(F.array(stretch, stretch - 1)).alias("stretch_b"), F.col("ts").alias("ts_b"), F.col("event_id").alias("b"))
+    return a.join(b, F.expr(f"user = user_id AND stretch_a = stretch_b AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {within}"), how).select("user", "a", "b")
+
+
 def followed(first: DataFrame, second: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
     """Pairs of a user's events of two streams, the second at most ``within`` after the first; both sides' state is bounded."""
-    a = first.withWatermark("ts", late).select(F.col("user_id").alias("user"), F.col("ts").alias("ts_a"), F.col("event_id").alias("a"))
-    b = second.withWatermark("ts", late).select("user_id", F.col("ts").alias("ts_b"), F.col("event_id").alias("b"))
-    return a.join(b, F.expr(f"user = user_id AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {within}")).select("user", "a", "b")
+    return _pairs(first, second, within, late, "inner")
 
 
 def followed_or_not(first: DataFrame, second: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
     """As ``followed``, and each of the first stream's events that nothing followed, with a null, once the watermark rules out that something still comes."""
-    a = first.withWatermark("ts", late).select(F.col("user_id").alias("user"), F.col("ts").alias("ts_a"), F.col("event_id").alias("a"))
-    b = second.withWatermark("ts", late).select("user_id", F.col("ts").alias("ts_b"), F.col("event_id").alias("b"))
-    return a.join(b, F.expr(f"user = user_id AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {within}"), "left").select("user", "a", "b")
+    return _pairs(first, second, within, late, "left")
 
 
 TOTALS = "user_id long, n long, total double"

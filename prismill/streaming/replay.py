@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Days of arrival in a step.
 DAYS = 3
+#: Rows in a file, about.
+ROWS = 100_000
 #: The closing row's number; its time is so many days after the last event.
 CLOSING, AFTER = -1, 60
 
@@ -31,18 +33,31 @@ def steps(events: DataFrame) -> DataFrame:
     return events.withColumn("step", F.floor(F.datediff(F.to_date(arrival()), F.lit(first)) / DAYS).cast("int"))
 
 
+def files(events: DataFrame) -> int:
+    """Files that a step wants, so that the tasks which write and read one stay small."""
+    n = steps(events).groupBy("step").count().agg(F.max("count")).first()[0]
+    return -(-(n or 1) // ROWS)
+
+
 def write(events: DataFrame, folder: str, files: int = 1, close: list[str] | None = None) -> int:
-    """Write the steps one after the other, each in so many files; ``close`` names the event types of closing rows. Returns how many steps there are."""
+    """Write the steps one after the other, each in exactly so many files; ``close`` names the event types of closing rows. Returns how many steps there are."""
     spark = events.sparkSession
     d = steps(events)
     last = d.agg(F.max("step"), F.max("ts")).first()
     numbers = range((last[0] or 0) + 1)
+
+    def put(rows: DataFrame, total: int) -> None:
+        rows.write.mode("append").parquet(folder)
+        # A batch reads so many files: what a hash leaves without rows gets an empty one, or the next step would come in too early.
+        for _ in range(total - len(spark.read.schema(events.schema).parquet(folder).inputFiles()) if files > 1 else 0):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+
     for i in numbers:
-        # Also a step without rows is a batch; a range by number and time gives files of one size.
-        d.where(F.col("step") == i).drop("step").repartition(files, "event_id").write.mode("append").parquet(folder)
+        # Also a step without rows is a batch.
+        put(d.where(F.col("step") == i).drop("step").repartition(files, "event_id"), (i + 1) * files)
     if close:
         rows = spark.range(1).select(F.lit(CLOSING).cast("long").alias("event_id"), (F.lit(last[1]).cast("timestamp_ntz") + F.expr(f"INTERVAL {AFTER} DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(*map(F.lit, close))).alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
-        rows.select(*events.columns).repartition(files).write.mode("append").parquet(folder)
+        rows.select(*events.columns).repartition(1).write.mode("append").parquet(folder)
     return len(numbers) + bool(close)
 
 

@@ -82,6 +82,45 @@ def test_steps_hold_every_event_and_come_in_order(spark, tiny, tmp_path):
     assert out_of_order > 100
 
 
+def test_a_batch_is_a_step_also_in_several_files(spark, tiny, tmp_path):
+    from prismill.plans import streams
+
+    whole = spark.read.parquet(f"{tiny}/events.parquet")
+    counts = {r.step: r["count"] for r in replay.steps(whole).groupBy("step").count().collect()}
+    assert min(counts.values()) < 4  # so a step has fewer rows than files
+    n = replay.write(whole, str(tmp_path / "steps"), 4, close=["view"])
+    progress = []
+    streams.drained(events.stream(spark, str(tmp_path / "steps"), "*.parquet", 4), "append", progress)
+    assert [p.numInputRows for p in progress] == [counts.get(i, 0) for i in range(n - 1)] + [1]
+
+
+def test_files_and_partitions_follow_the_rows(spark, tiny, monkeypatch):
+    from prismill.plans import streams
+
+    def shape():
+        progress = []
+        e, sized = streams._replayed(spark, tiny)
+        streams.drained(events.tumbling(e, "1 day", late="1 day"), "append", progress, **sized)
+        return {p.stateOperators[0].numShufflePartitions for p in progress if p.stateOperators}
+
+    assert shape() == {streams.LEAST}
+    monkeypatch.setattr(replay, "ROWS", 8)
+    monkeypatch.setattr(streams, "LEAST", 1)
+    top = replay.steps(spark.read.parquet(f"{tiny}/events.parquet")).groupBy("step").count().agg(F.max("count")).first()[0]
+    assert shape() == {-(-top // 8)}
+
+
+def test_pairs_at_the_ends_of_stretches(spark):
+    at = lambda h: f"TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {h} HOURS"
+    hours = [-13, -12, -7, -6, -1, 0, 5, 6, 11, 12, 13, 17, 18, 19, 24, 100]
+    table = lambda k: spark.sql(" UNION ALL ".join(f"SELECT {k + i}L AS event_id, {at(h)} AS ts, 1L AS user_id" for i, h in enumerate(hours)))
+    got = events.followed_or_not(table(0), table(100), "6 HOURS")
+    want = [(i, 100 + j) for i, h in enumerate(hours) for j, g in enumerate(hours) if 0 <= g - h <= 6]
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+    alone = events.followed_or_not(table(0), table(100).where("event_id > 104"), "6 HOURS").where("b IS NULL")
+    assert sorted(r.a for r in alone.collect()) == [0, 1, 2]
+
+
 def test_left_join_gives_nulls_only_when_the_watermark_has_passed(spark, tiny):
     from prismill.plans import streams
 
