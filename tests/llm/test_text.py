@@ -367,6 +367,30 @@ def test_wrappers_of_many_different_pages_stay_small():
     assert all(wrappers.main_text(p, json.dumps(wrappers.content(w))) == wrappers.main_text(p, None) for p in pages)
 
 
+@pytest.mark.parametrize("n", [20, 300])
+def test_a_wrapper_forgets_no_child(spark, n):
+    """However many boxes the pages of a host have, all are known as template, in one wrapper and in partial ones that meet."""
+    box = lambda k: f"<div class=k{chr(97 + k // 26)}{chr(97 + k % 26)}>box {k} says this on every page</div>"
+    page = lambda i: "<html><body>" + "".join(map(box, range(n))) + f"<div class=w><p>story {' '.join(f'{i}x{k}' for k in range(9))}</p></div></body></html>"
+    want = [f"story {' '.join(f'{i}x{k}' for k in range(9))}" for i in range(12)]
+    rule = json.dumps(wrappers.content(merged([page(i) for i in range(12)])))
+    assert [wrappers.main_text(page(i), rule) for i in range(12)] == want
+    pages = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(12)], "page_id long, url string, html string").repartition(4)
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == want
+
+
+def test_children_are_aligned_along_the_longest_common_list():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (list(map(str, rng.integers(0, rng.integers(1, 12), rng.integers(0, 15)))) for _ in "ab")
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+        length = wrappers._longest(a, b)
+        assert all(length(i, j) == best[i, j] for i in range(len(a) + 1) for j in range(len(b) + 1))
+
+
 def test_partial_wrappers_meet_in_rounds(spark, monkeypatch):
     """A host in more parts than a task puts together gets the same texts."""
     page = lambda i: f"<html><body><div class=a>{'the same on every page ' * 20}</div><div class=b><p>story number {i}</p></div></body></html>"
