@@ -150,3 +150,29 @@ def test_what_reachable_writes_has_a_row_for_each_group_of_sources(spark, monkey
     got = recursion.reachable(starts, links)
     assert got.count() == n * 40 and got.where("depth <> node").count() == 0
     assert max(t.count() for name, t in written if name not in ("starts", "sources")) <= 40 * (n // 64 + 4 + 1)  # four partitions at most
+
+
+def test_reachable_with_more_sources_than_a_group_has(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(50), rng.randrange(50)) for _ in range(90)] + [(49, 60 + k) for k in range(40)]
+    starts = [(7 * s, rng.randrange(50)) for s in range(1300)] + [(7, 3), (-5, 3)]
+    settings = [(k, spark.conf.get(k, None)) for k in (*recursion.SETTINGS, *recursion.PARTITIONS)]
+    got = recursion.reachable(spark.createDataFrame(starts, "source long, node long"), spark.createDataFrame(links, "a long, b long"))
+    assert [(k, spark.conf.get(k, None)) for k, _ in settings] == settings
+    want = {}
+    for s, first in set(starts):
+        frontier, depth = {first}, 0
+        while frontier:
+            want.update({(s, n): min(depth, want.get((s, n), depth)) for n in frontier})
+            frontier, depth = {b for a, b in links if a in frontier and want.get((s, b), 1e9) > depth + 1}, depth + 1
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and {(s, n): d for s, n, d in rows} == want
+
+
+def test_a_round_of_reachable_has_a_row_for_hundreds_of_sources(spark, monkeypatch):
+    folders, plain = {}, Scratch.folder
+    monkeypatch.setattr(Scratch, "folder", lambda self, name: folders.setdefault(name, plain(self, name)) if name == "rounds" else plain(self, name))
+    links = spark.range(40).selectExpr("id AS a", "(id + 1) % 40 AS b")
+    got = recursion.reachable(spark.range(500).selectExpr("id AS source", "0L AS node"), links)
+    assert got.count() == 500 * 40 and got.where("depth <> node").count() == 0
+    assert spark.read.parquet(folders["rounds"]).count() <= 2 * 40  # what was found, and what had been seen at the end
