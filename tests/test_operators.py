@@ -176,3 +176,12 @@ def test_a_round_of_reachable_has_a_row_for_hundreds_of_sources(spark, monkeypat
     got = recursion.reachable(spark.range(500).selectExpr("id AS source", "0L AS node"), links)
     assert got.count() == 500 * 40 and got.where("depth <> node").count() == 0
     assert spark.read.parquet(folders["rounds"]).count() <= 2 * 40  # what was found, and what had been seen at the end
+
+
+def test_groups_of_reachable_are_full_whatever_the_partitions(spark, monkeypatch):
+    folders, plain = {}, Scratch.folder
+    monkeypatch.setattr(Scratch, "folder", lambda self, name: folders.setdefault(name, plain(self, name)) if name == "rounds" else plain(self, name))
+    monkeypatch.setattr(recursion, "_deal", lambda scratch, size: [scratch.spark.conf.set(k, v) for k, v in zip(recursion.PARTITIONS, (9, "false"))])
+    got = recursion.reachable(spark.range(300).selectExpr("id AS source", "0L AS node"), spark.range(3).selectExpr("id AS a", "id + 1 AS b"))
+    assert got.count() == 300 * 4 and got.where("depth <> node").count() == 0
+    assert spark.read.parquet(folders["rounds"]).count() <= 2 * 4
